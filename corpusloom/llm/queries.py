@@ -7,7 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.session import read
 from .clusters import similarity_clusters, typical_members
+from .frequency import marked_words, word_frequencies
+from .mixture import mix_plan, mix_sources
 from .similar import similar_vectors
+from .topn import top_items
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    marks = marked_words(read(spark, sf, "corpus_docs"), read(spark, sf, "vocab"), read(spark, sf, "load_options"))
+    return marks.select("option_set", F.col("word").alias("term"), "mark")
+
+
+def p2_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    return word_frequencies(read(spark, sf, "corpus_docs"), read(spark, sf, "vocab")).select(F.col("word").alias("term"), "total_freq", "doc_freq")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [(m, k, read(spark, sf, m).select("topic", F.col(k).cast("bigint").alias("item_id"), "weight", "written_at")) for m, k in (("topic_word", "term_id"), ("doc_topic", "doc_id"))]
+    both = None
+    for m, _, df in parts:
+        df = df.select(F.lit(m).alias("matrix"), "*")
+        both = df if both is None else both.unionByName(df)
+    return top_items(both, ["matrix", "topic"], "item_id", "weight", "written_at").select("matrix", "topic", "item_id")
 
 
 def p4_similar(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,5 +49,13 @@ def p6_typical(spark: SparkSession, sf: str) -> DataFrame:
     return typical_members(similarity_clusters(read(spark, sf, "doc_vectors"), "doc_id"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_plan(read(spark, sf, "documents"), read(spark, sf, "mix_targets")).filter("short").select("source")
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(read(spark, sf, "documents"), read(spark, sf, "mix_targets"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p6_found, p6_typical)}
+    return {f.__name__: f for f in (p2_found, p2_frequencies, p3_found, p4_found, p6_found, p6_typical, p8_found, p8_mix)}
