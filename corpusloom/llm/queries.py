@@ -9,10 +9,19 @@ from ..functions.session import read
 from .clusters import similarity_clusters, typical_members
 from .frequency import marked_words, word_frequencies
 from .mixture import mix_plan, mix_sources
+from .neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from .similar import similar_vectors
 from .topn import top_items
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_pairs(*near_duplicates(read(spark, sf, "corpus_docs"), read(spark, sf, "vocab")))
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_groups(*near_duplicates(read(spark, sf, "corpus_docs"), read(spark, sf, "vocab")))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     marks = marked_words(read(spark, sf, "corpus_docs"), read(spark, sf, "vocab"), read(spark, sf, "load_options"))
     return marks.select("option_set", F.col("word").alias("term"), "mark")
@@ -58,4 +67,4 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_frequencies, p3_found, p4_found, p6_found, p6_typical, p8_found, p8_mix)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_frequencies, p3_found, p4_found, p6_found, p6_typical, p8_found, p8_mix)}
