@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
@@ -32,3 +33,14 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def small(df: DataFrame, limit: int = 1_000_000) -> tuple[DataFrame, bool]:
+    """``df`` for the lookup side of a join, and whether it is broadcast.
+
+    It is written once and counted; with at most ``limit`` (narrow) rows it gets a broadcast hint, and
+    beyond that it stays an ordinary join side.
+    """
+    df = cut(df)
+    fits = df.count() <= limit
+    return (F.broadcast(df) if fits else df), fits

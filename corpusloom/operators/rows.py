@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import small
+
 
 def latest_rows(df: DataFrame, keys: list[str], stamp: str, values: list[str]) -> DataFrame:
     """One row per key: the values that stand beside the greatest ``stamp``.
@@ -45,12 +47,21 @@ def document_terms(corpus: DataFrame) -> DataFrame:
     return last.select("doc_id", F.explode("tokens").alias("term_id")).filter("term_id is not null").groupBy("doc_id", "term_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+def join_on_terms(terms: DataFrame, ids: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """``terms`` (clustered by doc_id) joined with ``ids`` on term_id, clustered by doc_id again.
+
+    A vocabulary of at most ``limit`` ids is sent to every task and the documents stay where they
+    are; a larger one is met by a shuffle on term_id and one back.
+    """
+    side, fits = small(ids, limit)
+    joined = terms.join(side, "term_id")
+    return joined if fits else joined.repartition("doc_id")
+
+
 def document_words(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, word_id, n), hash-partitioned by doc_id: word counts of the last loaded documents.
+    """(doc_id, word_id, n), clustered by doc_id: word counts of the last loaded documents.
 
-    Ids that the vocabulary lacks are dropped.  A join and not a broadcast dictionary, so the
-    vocabulary may outgrow memory; Spark still broadcasts it where its size is known to be small.
+    Ids that the vocabulary lacks are dropped.
     """
     ids = canonical_vocab(vocab).select("term_id", "word_id")
-    joined = document_terms(corpus).join(ids, "term_id")
-    return joined.repartition("doc_id").groupBy("doc_id", "word_id").agg(F.sum("n").cast("int").alias("n"))
+    return join_on_terms(document_terms(corpus), ids).groupBy("doc_id", "word_id").agg(F.sum("n").cast("int").alias("n"))
