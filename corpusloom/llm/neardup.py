@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import cut
-from ..operators.rows import canonical_vocab, document_terms
+from ..operators.rows import canonical_vocab, document_terms, join_on_terms
 from .components import components
 from .trie import self_join
 
@@ -21,12 +21,6 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """``df``, with a broadcast hint if it has at most ``limit`` rows; else an ordinary join side."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def bags(corpus: DataFrame, vocab: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, size, bag): word counts of the last state of every document of enough words.
 
@@ -36,7 +30,7 @@ def bags(corpus: DataFrame, vocab: DataFrame, min_words: int) -> DataFrame:
     ids = canonical_vocab(vocab).select("term_id", "word_id").join(terms.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")), "term_id")
     words = ids.groupBy("word_id").agg(F.sum("df").alias("df"))
     ids = ids.select("term_id", "word_id").join(words, "word_id")
-    counted = terms.join(ids, "term_id").repartition("doc_id").groupBy("doc_id", "word_id").agg(F.sum("n").cast("int").alias("n"), F.max("df").alias("df"))
+    counted = join_on_terms(terms, ids).groupBy("doc_id", "word_id").agg(F.sum("n").cast("int").alias("n"), F.max("df").alias("df"))
     packed = counted.groupBy("doc_id").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct("df", "word_id", "n"))).alias("bag"))
     return packed.filter(F.col("size") >= min_words)
 

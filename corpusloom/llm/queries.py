@@ -10,6 +10,7 @@ from .clusters import similarity_clusters, typical_members
 from .frequency import marked_words, word_frequencies
 from .mixture import mix_plan, mix_sources
 from .neardup import duplicate_groups, duplicate_pairs, near_duplicates
+from .pairs import word_pairs
 from .similar import similar_vectors
 from .topn import top_items
 
@@ -49,6 +50,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.distinct()
 
 
+def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return word_pairs(read(spark, sf, "corpus_docs"), read(spark, sf, "vocab"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_pairs(spark, sf).select("term_a", "term_b")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     clusters = similarity_clusters(read(spark, sf, "doc_vectors"), "doc_id")
     return clusters.select("cluster_key", F.col("member").alias("doc_id")).distinct()
@@ -67,4 +76,4 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_frequencies, p3_found, p4_found, p6_found, p6_typical, p8_found, p8_mix)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_frequencies, p3_found, p4_found, p5_found, p5_pairs, p6_found, p6_typical, p8_found, p8_mix)}
