@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.session import read
 from .clusters import similarity_clusters, typical_members
 from .frequency import marked_words, word_frequencies
+from .leaks import find_leaks
 from .mixture import mix_plan, mix_sources
 from .neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from .pairs import word_pairs
+from .residue import template_residue
 from .similar import similar_vectors
 from .topn import top_items
 
@@ -67,6 +69,14 @@ def p6_typical(spark: SparkSession, sf: str) -> DataFrame:
     return typical_members(similarity_clusters(read(spark, sf, "doc_vectors"), "doc_id"))
 
 
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(read(spark, sf, "documents"), read(spark, sf, "eval_items")).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "edits", "windows")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_leaks(spark, sf).filter("edits = 0").select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return mix_plan(read(spark, sf, "documents"), read(spark, sf, "mix_targets")).filter("short").select("source")
 
@@ -75,5 +85,13 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(read(spark, sf, "documents"), read(spark, sf, "mix_targets"))
 
 
+def p9_residue(spark: SparkSession, sf: str) -> DataFrame:
+    return template_residue(read(spark, sf, "documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_residue(spark, sf).select("doc_id").distinct()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_frequencies, p3_found, p4_found, p5_found, p5_pairs, p6_found, p6_typical, p8_found, p8_mix)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_frequencies, p3_found, p4_found, p5_found, p5_pairs, p6_found, p6_typical, p7_found, p7_leaks, p8_found, p8_mix, p9_found, p9_residue)}
