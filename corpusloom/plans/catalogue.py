@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import read
+from ..models.dirichlet import GSDMM, LDA
 from ..operators import cooc, diagnostics, text, vectors, weights
 
 R = 6
@@ -119,6 +120,11 @@ def queries() -> dict:
         "kmeans_step": lambda s, d: vectors.kmeans_step(_emb(s, d).select("id", "vec"), vectors.centroids(_emb(s, d))).withColumn("cost", F.round("cost", 4)),
         "pca_gram": lambda s, d: vectors.gram(_emb(s, d), 64).withColumn("s", F.round("s", 4)),
     }
+    # fits depend on random starts: rows only, checked by planted structure in the tests
+    q["lda_cvb0_topics"] = lambda s, d: LDA(8, alpha_sum=1.0).fit(_docs(s, d), iters=8, min_doc_freq=5).phi()
+    q["lda_gibbs_topics"] = lambda s, d: LDA(8, alpha_sum=1.0, sampler="gibbs").fit(_docs(s, d), iters=8, min_doc_freq=5).phi()
+    q["lda_doc_topic"] = lambda s, d: LDA(8, alpha_sum=1.0).fit(_docs(s, d), iters=8, min_doc_freq=5).doc_topic()
+    q["gsdmm_clusters"] = lambda s, d: GSDMM(12).fit(_docs(s, d), iters=4, min_doc_freq=5).doc_cluster
     for name, opts in CTFIDF.items():
         q[name] = lambda s, d, o=opts: _rounded(weights.ctfidf(_counts(s, d), **o), "weight")
     q["ctfidf_topk"] = lambda s, d: weights.top_terms(_rounded(weights.ctfidf(_counts(s, d)), "weight"))
