@@ -96,7 +96,7 @@ def _grouped(degree: np.ndarray, count: np.ndarray, exact: int = 1000, width: fl
     return u, np.bincount(at, degree * count) / n, n
 
 
-def _slices(limit: float | None, total: int, at_once: int = 1 << 22):
+def _slices(limit: float | None, total: int, at_once: int = 1 << 20):
     """Arrow function: documents (items sorted by df) to sorted blocks of pair keys.
 
     A key holds the rarer item in its upper and the other one in its lower 32 bits.  Rows: block
@@ -150,7 +150,7 @@ def _slices(limit: float | None, total: int, at_once: int = 1 << 22):
     return run
 
 
-def _sums(min_count: int, bound=None, at_once: int = 1 << 23):
+def _sums(min_count: int, bound=None, at_once: int = 1 << 21):
     """Arrow function over rows sorted by block: exact counts (a, b, n_ab) of at least ``min_count``.
 
     One block is held at a time, and of it only its distinct pairs and what is not yet added.
@@ -236,7 +236,9 @@ def item_pairs(baskets: DataFrame, min_count: int = 8, min_npmi: float | None =
             return total * (x * y) ** (1 / (1 + min_npmi)) * (1 - 1e-9)
 
     keys = lists.filter(F.size("items") > 1).select("items").mapInArrow(_slices(min_npmi, max(total, 1)), "block bigint, keys binary")
-    counts = keys.repartition("block").sortWithinPartitions("block").mapInArrow(_sums(min_count, bound), "a int, b int, n_ab bigint")
+    # blobs are large: more and smaller partitions keep an Arrow batch of them small
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = keys.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_sums(min_count, bound), "a int, b int, n_ab bigint")
     fa = kept.select(F.col("item").alias("a"), F.col("df").alias("n_a"))
     fb = kept.select(F.col("item").alias("b"), F.col("df").alias("n_b"))
     d = F.lit(float(max(total, 1)))
@@ -261,8 +263,8 @@ def item_pairs(baskets: DataFrame, min_count: int = 8, min_npmi: float | None =
             at = [np.searchsorted(label, _grouped_label(b.column(c).to_numpy())) for c in ("n_a", "n_b")]
             n = b.column("n_ab").to_numpy().astype(float)
             mean, ln = np.empty(len(n)), np.empty(len(n))
-            for lo in range(0, len(n), 4096):
-                s = slice(lo, lo + 4096)
+            for lo in range(0, len(n), 1024):
+                s = slice(lo, lo + 1024)
                 mean[s], ln[s] = tail((p[:, at[0][s]] * p[:, at[1][s]]).T, copies, n[s])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "n_ab", "n_a", "n_b", "npmi")), pa.array(mean), pa.array(ln)], names=["a", "b", "n_ab", "n_a", "n_b", "npmi", "expected", "ln_p"])
 
