@@ -65,3 +65,22 @@ def test_numbers():
     assert np.isclose(cost[np.arange(5), num.hungarian(cost)].sum(), best)
     x = num.lbfgs(lambda v: (float(((v - [1, 2]) ** 2 * [1, 30]).sum()), 2 * (v - [1, 2]) * [1, 30]), np.zeros(2))
     assert np.allclose(x, [1, 2], atol=1e-4)
+
+
+def test_stm_recovers_blocks_and_the_covariate(spark):
+    from corpusloom.models.logistic import STM
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(150):
+        x = i % 2
+        share = rng.dirichlet([6, 1, 1] if x else [1, 6, 1])
+        rows.append((i, [f"b{b}w{rng.integers(0, 8)}" for b in rng.choice(3, 30, p=share)], float(x)))
+    d = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>, x double")
+    m = STM(3, seed=1).fit(d.select("doc_id", "tokens"), d.select("doc_id", "x"), ["x"], iters=12, parts=2)
+    assert pure(m, 3) == [frozenset({f"b{i}"}) for i in range(3)]
+    assert m.bound_history[-1] > m.bound_history[0] and np.allclose(m.topic_word.sum(1), 1)
+    names = [t[0][0][:2] for t in m.top_words(1)]
+    theta = m.doc_topic().toPandas().pivot(index="doc_id", columns="topic", values="p")
+    lift = theta[theta.index % 2 == 1].mean() - theta[theta.index % 2 == 0].mean()
+    assert lift[names.index("b0")] > 0.4 and lift[names.index("b1")] < -0.4
