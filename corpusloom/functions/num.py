@@ -25,17 +25,26 @@ def digamma(x) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r / 252))
 
 
-def minka_alpha(counts: np.ndarray, alpha: np.ndarray, steps: int = 20) -> np.ndarray:
-    """Fixed-point update of an asymmetric Dirichlet prior from document-topic counts (D, K)."""
-    n = counts.sum(1)
+def prior_terms(counts: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """What documents (D, K) add to a step of ``minka_steps``: K numerators and the denominator."""
+    total = alpha.sum()
+    num = (digamma(counts + alpha) - digamma(alpha)).sum(0)
+    return np.r_[num, (digamma(counts.sum(1) + total) - digamma(total)).sum()]
+
+
+def minka_steps(terms, alpha: np.ndarray, steps: int = 20) -> np.ndarray:
+    """Fixed-point update of an asymmetric Dirichlet prior; ``terms(alpha)`` sums ``prior_terms`` over all documents."""
     for _ in range(steps):
-        total = alpha.sum()
-        num = (digamma(counts + alpha) - digamma(alpha)).sum(0)
-        den = (digamma(n + total) - digamma(np.full(len(n), total))).sum()
-        alpha = np.maximum(alpha * num / max(den, 1e-12), 1e-6)
+        t = terms(alpha)
+        alpha = np.maximum(alpha * t[:-1] / max(t[-1], 1e-12), 1e-6)
     return alpha
 
 
+def minka_alpha(counts: np.ndarray, alpha: np.ndarray, steps: int = 20) -> np.ndarray:
+    """Fixed-point update of an asymmetric Dirichlet prior from document-topic counts (D, K)."""
+    return minka_steps(lambda a: prior_terms(counts, a), alpha, steps)
+
+
 def hungarian(cost: np.ndarray) -> np.ndarray:
     """Column of each row in an assignment of least cost (rows <= columns), by shortest augmenting paths."""
     cost = np.asarray(cost, float)

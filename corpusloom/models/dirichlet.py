@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.num import lgamma, minka_alpha
+from ..functions.num import digamma, lgamma, minka_steps, prior_terms
 from ..functions.session import cut
 from .base import Encoded, phi_frame, top_words
 
@@ -24,6 +24,39 @@ def _bags(batch):
     return np.diff(bag.offsets.to_numpy()), flat.field("w").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False)
 
 
+def _histogram_terms(state: DataFrame, k: int):
+    """``terms`` of ``minka_steps`` from whole counts: histograms over all documents, one row per topic and count."""
+    from pyspark.sql import functions as F
+
+    whole = state.select(F.transform("size", lambda x: F.round(x).cast("bigint")).alias("size"))
+    sizes = whole.select(F.posexplode("size").alias("topic", "n")).filter("n > 0")
+    totals = whole.select(F.lit(k).alias("topic"), F.aggregate("size", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).filter("n > 0")
+    # at most topics x longest document rows
+    rows = np.array(sizes.unionByName(totals).groupBy("topic", "n").count().orderBy("topic", "n").collect(), float).reshape(-1, 3)
+    topic, n, docs = rows[:, 0].astype(int), rows[:, 1], rows[:, 2]
+
+    def terms(alpha):
+        a = np.r_[alpha, alpha.sum()][topic]
+        return np.bincount(topic, docs * (digamma(n + a) - digamma(a)), k + 1)
+
+    return terms
+
+
+def _summed_terms(state: DataFrame, k: int):
+    """``terms`` of ``minka_steps`` from fractional counts: each partition sums over its documents, one job a step."""
+
+    def terms(alpha):
+        def part(batches):
+            total = np.zeros(k + 1)
+            for b in batches:
+                total += prior_terms(b.column("size").flatten().to_numpy(zero_copy_only=False).reshape(-1, k), alpha)
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["terms"])
+
+        return np.sum([r[0] for r in state.select("size").mapInArrow(part, "terms array<double>").collect()], axis=0)
+
+    return terms
+
+
 class LDA:
     """Latent Dirichlet allocation.
 
@@ -148,9 +181,7 @@ class LDA:
             moved = sum(r["change"] for r in parts_) / max(1, 2 * sum(r["cells"] for r in parts_))
             self.history.append((it, moved))
             if self.optimize_interval and it and it % self.optimize_interval == 0:
-                # the prior is fitted on a bounded sample of documents
-                sizes = np.array([r[0] for r in state.select("size").orderBy("doc_id").limit(20_000).collect()])
-                self.alpha = minka_alpha(sizes, self.alpha)
+                self.alpha = minka_steps(_histogram_terms(state, k) if gibbs else _summed_terms(state, k), self.alpha)
             if progress:
                 progress(it, moved)
         self.counts, self.prior, self._state = table if table is not None else np.zeros((k, v)), prior, state

@@ -39,6 +39,16 @@ def test_lda_is_deterministic_guided_and_labelled(spark):
         assert [{w[:2] for w, _ in t} for t in m.top_words(5)] == [{"b0"}, {"b1"}, {"b2"}]
 
 
+@pytest.mark.parametrize("sampler", ["cvb0", "gibbs"])
+def test_prior_is_fitted_on_all_documents(spark, sampler):
+    # the documents above the 20,000 smallest ids are longer and of another block
+    d = spark.sql("SELECT id AS doc_id, IF(id < 20000, array('a', 'b', 'a'), array('c', 'd', 'c', 'c', 'd', 'e', 'c', 'd')) AS tokens FROM range(26000)")
+    m = LDA(2, alpha_sum=0.5, sampler=sampler, optimize_interval=1, seed=1, seed_words={0: ["a", "b"]}).fit(d, iters=2, parts=2)
+    sizes = np.array([r[0] for r in m._state.select("size").collect()])
+    assert len(sizes) == 26_000 and np.allclose(m.alpha, num.minka_alpha(sizes, np.full(2, 0.25)), rtol=1e-9)
+    assert not np.allclose(m.alpha, num.minka_alpha(sizes[np.argsort(sizes.sum(1), kind="stable")[:20_000]], np.full(2, 0.25)), rtol=0.01)
+
+
 def test_save_load_and_transform(spark, tmp_path):
     m = LDA(3, alpha_sum=0.3, seed=1).fit(blocks(spark), iters=15, parts=2)
     m.save(str(tmp_path / "m"))
