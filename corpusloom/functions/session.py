@@ -27,6 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``; no frame made from it may be read any more."""
+    at = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if at.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

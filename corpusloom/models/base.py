@@ -26,7 +26,16 @@ class Encoded:
         parts = parts or self.spark.sparkContext.defaultParallelism
         # a fixed number of partitions by key, so that the same seed gives the same fit
         self.docs = cut(bag.repartition(parts, "doc_id").sortWithinPartitions("doc_id"))
-        self.parts = parts
+        self.parts, self._ids = parts, docs.select("doc_id")
+
+    def wordless(self) -> DataFrame:
+        """(doc_id): documents without a kept word, null and empty ones included."""
+        return self._ids.distinct().join(self.docs.select(F.col("doc_id").alias("kept")), F.col("doc_id").eqNullSafe(F.col("kept")), "left_anti")
+
+    def all_docs(self) -> DataFrame:
+        """``docs`` with an empty bag for every document without a kept word."""
+        empty = self.wordless().withColumn("bag", F.array().cast(self.docs.schema["bag"].dataType))
+        return cut(self.docs.unionByName(empty).repartition(self.parts, "doc_id").sortWithinPartitions("doc_id"))
 
     def check(self, topics: int) -> None:
         if topics * len(self.terms) > MOST_CELLS:

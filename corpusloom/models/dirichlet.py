@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.num import digamma, lgamma, minka_steps, prior_terms
-from ..functions.session import cut
+from ..functions.session import cut, drop
 from .base import Encoded, phi_frame, top_words
 
 
@@ -76,6 +76,7 @@ class LDA:
         self.optimize_interval, self.merge_every = optimize_interval, merge_every
         self.seed_words, self.seed_weight = seed_words or {}, seed_weight
         self.history: list[tuple[int, float]] = []
+        self.converged: bool | None = None
 
     def _prior(self) -> np.ndarray:
         b = np.full((self.num_topics, len(self.vocabulary)), self.beta)
@@ -86,7 +87,14 @@ class LDA:
                     b[k, at[w]] += self.seed_weight
         return b
 
-    def fit(self, docs: DataFrame, *, iters: int = 30, min_doc_freq: int = 1, max_doc_fraction: float = 1.0, labels: DataFrame | None = None, parts: int | None = None, progress=None) -> "LDA":
+    def fit(self, docs: DataFrame, *, iters: int = 30, min_doc_freq: int = 1, max_doc_fraction: float = 1.0, labels: DataFrame | None = None, parts: int | None = None, progress=None, num_samples: int = 0, sample_interval: int = 25, convergence_tol: float = 0.0, check_every: int = 10) -> "LDA":
+        """At most ``iters`` sweeps, then ``num_samples`` snapshots ``sample_interval`` sweeps apart, whose phi and theta are averaged.
+
+        With ``convergence_tol`` the first part ends before ``iters``: for "cvb0" once a sweep moves less than
+        that share of the tokens to other topics, for "gibbs" once the log-likelihood differs by less than
+        that share between two checks, ``check_every`` sweeps apart; never in the first 3 x ``check_every``
+        sweeps, in which the topics of a random start have yet to part.  ``converged`` says which it was.
+        """
         enc = docs if isinstance(docs, Encoded) else Encoded(docs, min_doc_freq, max_doc_fraction, parts)
         enc.check(self.num_topics)
         self.vocabulary, self.spark = enc.terms, enc.spark
@@ -98,11 +106,13 @@ class LDA:
         limited = labels is not None
         gibbs, seed, spark = self.sampler == "gibbs", self.seed, self.spark
         state = data
-        table = None
-        for it in range(iters):
+        table, it, ends, taken, phi, checked = None, 0, iters, 0, 0.0, None
+        self.converged = False if convergence_tol else None
+        while it < ends + num_samples * sample_interval:
+            snap = it >= ends and (it - ends + 1) % sample_interval == 0
             held = spark.sparkContext.broadcast((table, prior, self.alpha))
 
-            def sweep(batches, it=it, held=held):
+            def sweep(batches, it=it, held=held, snap=snap, taken=taken):
                 counts, prior, alpha = held.value
                 mine = None if counts is None else counts.copy()
                 delta, rng, change, cells, hist = np.zeros((k, v)), None, 0.0, 0, np.zeros((0, k))
@@ -156,6 +166,9 @@ class LDA:
                     np.add.at(delta.T, w, new - old)
                     size = np.zeros((len(per), k))
                     np.add.at(size, doc, new)
+                    if taken:
+                        # from the first snapshot on, the sum of the snapshots
+                        size = size * snap + np.array(b.column("size").to_pylist())
                     ends = np.cumsum(per)
                     rows = new.astype(np.float32)
                     blobs = [rows[e - p : e].tobytes() for e, p in zip(ends, per)]
@@ -169,7 +182,7 @@ class LDA:
             key = dict(data.dtypes)["doc_id"]
             names = ["doc_id", "bag", *(["topics"] if limited else []), "g", "size", "delta", "change", "cells"]
             shape = f"doc_id {key}, bag array<struct<w:int,n:int>>, {'topics array<int>, ' if limited else ''}g binary, size array<double>, delta binary, change double, cells bigint"
-            keep = [c for c in ("doc_id", "bag", "topics", "g") if c in state.columns]
+            keep = [c for c in ("doc_id", "bag", "topics", "g", "size") if c in state.columns]
             out = cut(state.select(*keep).mapInArrow(sweep, shape))
             # one row per partition: its table of changes; K x V cells each, checked by Encoded.check
             parts_ = out.filter("delta is not null").select("delta", "change", "cells").collect()
@@ -177,22 +190,43 @@ class LDA:
             for r in sorted(parts_, key=lambda r: (r["change"], r["cells"])):
                 table += np.frombuffer(r["delta"], np.float32).reshape(k, v)
             table = np.maximum(table, 0.0)
-            state = out.filter("delta is null").drop("delta", "change", "cells")
+            if it:
+                drop(last)
+            state, last = out.filter("delta is null").drop("delta", "change", "cells"), out
             moved = sum(r["change"] for r in parts_) / max(1, 2 * sum(r["cells"] for r in parts_))
             self.history.append((it, moved))
-            if self.optimize_interval and it and it % self.optimize_interval == 0:
+            if snap:
+                taken += 1
+                phi = phi + (table + prior) / (table + prior).sum(1, keepdims=True)
+            if convergence_tol and it < ends and it >= 2 * check_every:
+                if not gibbs:
+                    self.converged = moved < convergence_tol and it >= 3 * check_every
+                elif it % check_every == 0:
+                    self.counts, self.prior = table, prior
+                    now = self.log_likelihood()
+                    self.converged, checked = checked is not None and abs(now - checked) < convergence_tol * abs(checked), now
+                if self.converged:
+                    ends = it + 1
+            if self.optimize_interval and it and it < ends and it % self.optimize_interval == 0:
                 self.alpha = minka_steps(_histogram_terms(state, k) if gibbs else _summed_terms(state, k), self.alpha)
             if progress:
                 progress(it, moved)
-        self.counts, self.prior, self._state = table if table is not None else np.zeros((k, v)), prior, state
+            it += 1
+        if taken:
+            from pyspark.sql import functions as F
+
+            state = state.withColumn("size", F.transform("size", lambda x: x / taken))
+        self.counts, self.prior, self._state, self._wordless = table if table is not None else np.zeros((k, v)), prior, state, enc.wordless()
         p = self.counts + prior
-        self.topic_word = p / p.sum(1, keepdims=True)
+        self.topic_word = phi / taken if taken else p / p.sum(1, keepdims=True)
         return self
 
     def doc_topic(self) -> DataFrame:
-        """(doc_id, topic, p) of the fitted documents."""
-        alpha = self.alpha
-        return self._long(self._state.select("doc_id", "size"), alpha)
+        """(doc_id, topic, p) of the fitted documents; one without a kept word gets the prior."""
+        from pyspark.sql import functions as F
+
+        empty = self._wordless.withColumn("size", F.array_repeat(F.lit(0.0), self.num_topics))
+        return self._long(self._state.select("doc_id", "size").unionByName(empty), self.alpha)
 
     @staticmethod
     def _long(sizes: DataFrame, alpha: np.ndarray) -> DataFrame:
@@ -280,7 +314,8 @@ class GSDMM:
     """One topic per document (Movie Group Process) for short texts.
 
     Each sweep redraws every document's cluster from the counts without it; partitions work on the
-    counts of the last sweep plus their own changes.
+    counts of the last sweep plus their own changes.  A document without a kept word stays in the
+    sampler and is drawn by the sizes of the clusters alone.
     """
 
     def __init__(self, num_topics: int, *, alpha: float = 0.1, beta: float = 0.1, seed: int = 42):
@@ -291,8 +326,9 @@ class GSDMM:
         enc.check(self.num_topics)
         k, v, alpha, beta, seed = self.num_topics, len(enc.terms), self.alpha, self.beta, self.seed
         self.vocabulary, self.spark = enc.terms, enc.spark
-        key = dict(enc.docs.dtypes)["doc_id"]
-        state, m, nkw = enc.docs, np.zeros(k), np.zeros((k, v))
+        state = enc.all_docs()
+        key = dict(state.dtypes)["doc_id"]
+        m, nkw = np.zeros(k), np.zeros((k, v))
         self.cluster_counts: list[int] = []
         for it in range(iters):
             held = self.spark.sparkContext.broadcast((m, nkw))
@@ -316,7 +352,7 @@ class GSDMM:
                             nkw[old[i], wi] -= ni
                             nk[old[i]] -= ni.sum()
                             lp = np.log(m + alpha)
-                            for c in range(int(ni.max())):
+                            for c in range(int(ni.max(initial=0))):
                                 lp += np.log(nkw[:, wi[ni > c]] + beta + c).sum(1)
                             lp -= np.log(nk[:, None] + beta * v + np.arange(ni.sum())).sum(1)
                             p = np.exp(lp - lp.max())
@@ -337,7 +373,9 @@ class GSDMM:
             for r in out.filter("delta is not null").select("delta").collect():
                 change += np.frombuffer(r["delta"], np.float32).reshape(k, v + 1)
             m, nkw = m + change[:, 0], nkw + change[:, 1:]
-            state = out.filter("delta is null").drop("delta")
+            if it:
+                drop(last)
+            state, last = out.filter("delta is null").drop("delta"), out
             self.cluster_counts.append(int((m > 0.5).sum()))
         self.sizes = m
         self.topic_word = (nkw + beta) / (nkw.sum(1, keepdims=True) + beta * v)

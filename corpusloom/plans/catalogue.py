@@ -121,16 +121,18 @@ def queries() -> dict:
         "pca_gram": lambda s, d: vectors.gram(_emb(s, d), 64).withColumn("s", F.round("s", 4)),
     }
     # fits depend on random starts: rows only, checked by planted structure in the tests
-    q["lda_cvb0_topics"] = lambda s, d: LDA(8, alpha_sum=1.0).fit(_docs(s, d), iters=8, min_doc_freq=5).phi()
-    q["lda_gibbs_topics"] = lambda s, d: LDA(8, alpha_sum=1.0, sampler="gibbs").fit(_docs(s, d), iters=8, min_doc_freq=5).phi()
-    q["lda_doc_topic"] = lambda s, d: LDA(8, alpha_sum=1.0).fit(_docs(s, d), iters=8, min_doc_freq=5).doc_topic()
-    q["gsdmm_clusters"] = lambda s, d: GSDMM(12).fit(_docs(s, d), iters=4, min_doc_freq=5).doc_cluster
+    q["lda_cvb0_topics"] = lambda s, d: LDA(8, alpha_sum=1.0).fit(_docs(s, d), min_doc_freq=5, **FITS["cvb0"]).phi()
+    q["lda_gibbs_topics"] = lambda s, d: LDA(8, alpha_sum=1.0, sampler="gibbs").fit(_docs(s, d), min_doc_freq=5, **FITS["gibbs"]).phi()
+    q["lda_doc_topic"] = lambda s, d: LDA(8, alpha_sum=1.0).fit(_docs(s, d), min_doc_freq=5, **FITS["cvb0"]).doc_topic()
+    q["gsdmm_clusters"] = lambda s, d: GSDMM(12).fit(_docs(s, d), min_doc_freq=5).doc_cluster
     for name, opts in CTFIDF.items():
         q[name] = lambda s, d, o=opts: _rounded(weights.ctfidf(_counts(s, d), **o), "weight")
     q["ctfidf_topk"] = lambda s, d: weights.top_terms(_rounded(weights.ctfidf(_counts(s, d)), "weight"))
     return q
 
 
+#: Sweeps until the convergence test of ``LDA.fit``, 1000 at most; Gibbs then averages 5 snapshots 25 sweeps apart.
+FITS = {"cvb0": {"iters": 1000, "convergence_tol": 1e-3}, "gibbs": {"iters": 1000, "convergence_tol": 1e-4, "num_samples": 5, "sample_interval": 25}}
 CTFIDF = {"ctfidf": {}, "ctfidf_bm25": {"bm25": True}, "ctfidf_sqrt": {"reduce_frequent": True}, "ctfidf_bm25_sqrt": {"bm25": True, "reduce_frequent": True}}
 
 _BASE = r"""

@@ -49,6 +49,50 @@ def test_prior_is_fitted_on_all_documents(spark, sampler):
     assert not np.allclose(m.alpha, num.minka_alpha(sizes[np.argsort(sizes.sum(1), kind="stable")[:20_000]], np.full(2, 0.25)), rtol=0.01)
 
 
+@pytest.mark.parametrize("sampler,tol", [("cvb0", 1e-3), ("gibbs", 0.05)])
+def test_fit_until_it_settles_and_averages_snapshots(spark, sampler, tol):
+    d, seen = blocks(spark, per=20), []
+    m = LDA(3, alpha_sum=0.3, sampler=sampler, seed=1)
+    m.fit(d, iters=200, parts=2, convergence_tol=tol, check_every=3, num_samples=2, sample_interval=2, progress=lambda i, moved: seen.append(i))
+    ends = len(seen) - 4
+    assert m.converged and 9 < ends < 200
+    # the same sweeps without averaging give the snapshots
+    a, b = (LDA(3, alpha_sum=0.3, sampler=sampler, seed=1).fit(d, iters=ends + n, parts=2) for n in (2, 4))
+    assert np.allclose(m.topic_word, (a.topic_word + b.topic_word) / 2, atol=1e-6)
+    t = [x.doc_topic().toPandas().sort_values(["doc_id", "topic"]).p.to_numpy() for x in (m, a, b)]
+    assert np.allclose(t[0], (t[1] + t[2]) / 2, atol=1e-6)
+
+
+def test_documents_without_a_kept_word_have_a_row(spark):
+    d = blocks(spark, per=20).unionByName(spark.createDataFrame([(100, ["rare"]), (101, []), (102, None)], "doc_id bigint, tokens array<string>"))
+    theta = LDA(3, seed=1).fit(d, iters=2, min_doc_freq=2, parts=2).doc_topic().toPandas()
+    assert set(theta.doc_id) == {*range(60), 100, 101, 102} and len(theta) == 63 * 3
+    assert np.allclose(theta[theta.doc_id >= 100].p, 1 / 3)
+    m = GSDMM(4, seed=1).fit(d, iters=3, min_doc_freq=2, parts=2)
+    z = m.doc_cluster.toPandas()
+    assert sorted(z.doc_id) == [*range(60), 100, 101, 102] and z.z.between(0, 3).all() and m.sizes.sum() == 63
+
+
+def test_registered_fits_run_to_the_end(spark, monkeypatch):
+    from corpusloom.plans import catalogue
+
+    ran = {}
+
+    def keep(self, docs, **k):
+        ran[type(self).__name__, getattr(self, "sampler", "")] = k
+        raise InterruptedError
+
+    for model in (LDA, GSDMM):
+        monkeypatch.setattr(model, "fit", keep)
+    monkeypatch.setattr(catalogue, "_docs", lambda s, d: None)
+    for name in ("lda_cvb0_topics", "lda_gibbs_topics", "lda_doc_topic", "gsdmm_clusters"):
+        with pytest.raises(InterruptedError):
+            catalogue.queries()[name](spark, "")
+    assert ran["LDA", "cvb0"]["convergence_tol"] and ran["LDA", "cvb0"]["iters"] >= 1000
+    assert ran["LDA", "gibbs"]["convergence_tol"] and ran["LDA", "gibbs"]["num_samples"] == 5
+    assert ran["GSDMM", ""].get("iters", 30) >= 30
+
+
 def test_save_load_and_transform(spark, tmp_path):
     m = LDA(3, alpha_sum=0.3, seed=1).fit(blocks(spark), iters=15, parts=2)
     m.save(str(tmp_path / "m"))
