@@ -1,6 +1,8 @@
 """Template residue, filler, error pages and script notices inside texts."""
 
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -121,6 +123,7 @@ WORD = re.compile(r"[^\W\d_]+")
 OPEN, CLOSE = "`\"'“„«‘‚”‹", "`\"'”“»’‘›"
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code)\b[^>]*>.*?(?:</\1>|\Z)|`[^`\n]{1,200}`", re.S | re.I)
 FORMAT = re.compile("[­؀-؅؜۝܏᠎​-‏‪-‮⁠-⁤⁦-⁯﻿￹-￻]")
+BLANK = re.compile(r"\n[^\S\n]*\n")
 SPACE = re.compile(r"[^\S\n]+")
 QUOTED = re.compile(r"\"[^\"\n]{1,160}\"|“[^”\n]{1,160}”|«[^»\n]{1,160}»|„[^“”\n]{1,160}[“”]|(?<!\w)'[^'\n]{1,160}'(?!\w)")
 
@@ -161,8 +164,8 @@ def find_residue(text: str) -> list[tuple[str, int, int]]:
     A hit in a code block, in back ticks or in quotation marks does not count, nor does one whose
     sentence speaks about templates or messages.  A text of several code blocks that teaches
     templates keeps such hits out by the same rule: what stands in a block is code, and a hit
-    between blocks counts only if no cue stands in its sentence and hits in code do not outnumber
-    the ones outside three to one.
+    between blocks counts only if no cue stands in its sentence and, in its paragraph with the code
+    that paragraph touches, hits in code do not outnumber the ones outside three to one.
     """
     t = plain(text)
     code = [m.span() for m in CODE.finditer(t)]
@@ -174,22 +177,22 @@ def find_residue(text: str) -> list[tuple[str, int, int]]:
         for needles, p in patterns:
             if any(n in low for n in needles):
                 found += [(kind, *m.span()) for m in p.finditer(t)]
-    hits, coded = [], 0
+    # a blank line inside a code block ends no paragraph
+    breaks = [m.start() for m in BLANK.finditer(t) if not inside(code, m.start(), m.end())]
+    hits, coded = [], Counter()
     for kind, a, b in found:
         while a < b and t[a].isspace():
             a += 1
         if inside(code, a, b):
-            coded += kind == "placeholder"
+            coded[bisect(breaks, a)] += kind == "placeholder"
             continue
         if (a and t[a - 1] in OPEN and b < len(t) and t[b] in CLOSE) or inside(quotes, a, b):
             continue
         left = max((m.end() for m in SENTENCE.finditer(t, max(0, a - 80), a)), default=max(0, a - 80))
         if not TALKS.search(t, left, a):
             hits.append((kind, a, b))
-    placed = sum(k == "placeholder" for k, _, _ in hits)
-    if coded > 3 * max(placed, 1):
-        hits = [h for h in hits if h[0] != "placeholder"]
-    return hits
+    placed = Counter(bisect(breaks, a) for k, a, _ in hits if k == "placeholder")
+    return [h for h in hits if h[0] != "placeholder" or coded[bisect(breaks, h[1])] <= 3 * placed[bisect(breaks, h[1])]]
 
 
 def template_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,7 +203,7 @@ def template_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     Method: a grammar for each placeholder delimiter and regular expressions for filler, error pages
     and script notices in four languages; hits in code, in quotes or in sentences that talk about such
-    things are discounted, and placeholders of texts full of template code are too (``find_residue``).
+    things are discounted, and placeholders of paragraphs full of template code are too (``find_residue``).
     Whole texts are searched.  Null, empty and blank texts, and rows with a null key, give no row; a
     repeated row gives one row each time; other columns are ignored.
     """

@@ -305,3 +305,9 @@ def test_residue(spark):
     got = residue.template_residue(df).collect()
     assert {r.doc_id for r in got} == {*range(len(RESIDUE)), 5001} and all(0 < r.share <= 1 for r in got)
     assert residue.template_residue(df.limit(0)).count() == 0
+
+
+def test_residue_far_from_code_is_kept():
+    code = "```\n${A}\n\n${B}\n${C} ${D}\n```"
+    assert [h[0] for h in residue.find_residue(f"Dear {{{{ first_name }}}}, hello.\n\nLater in the thread:\n{code}\nDone.")] == ["placeholder"]
+    assert not residue.find_residue(f"First paragraph.\n\nPut {{{{ first_name }}}} there:\n{code}\nDone.")
