@@ -21,16 +21,18 @@ PLACEHOLDERS = {
     "shell": rf"\$\{{\s*{NAME}\s*\}}",
     "hash": rf"#\{{\s*{NAME}\s*\}}",
     "brace": r"(?<![\w{$#%\\}])\{[^\W\d_]\w{0,40}\}(?![}\w])",
-    "percent": rf"(?<![\w%])%{UPPER}%(?![\w%])",
+    "percent": rf"(?<![\w%])%(?:{UPPER}|[^\W\d_]\w{{1,40}})%(?![\w%])",
     "at": rf"@@{NAME}@@",
     "dunder": r"(?<![\w.])__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__(?![\w.(])",
     "merge": r"\*\|[A-Z][A-Z0-9_:]{1,40}\|\*",
     "xxxx": r"\bX{3,}_[A-Z0-9_]+?_X{3,}\b",
     "double_angle": rf"<<\s*{NAME}\s*>>",
     "entity": rf"&lt;\s*(?!/|\w+\s*/?&gt;.{{0,400}}&lt;/){NAME}\s*&gt;",
-    "your_here": r"<\s*(?:your|insert|enter|su|votre|ihr|tu) [\w ]{1,50}?(?: here| aquí| ici| hier)?\s*>",
+    "your_here": r"(?i:<\s*(?:your|insert|enter|su|votre|ihr|tu) [\w ]{1,50}?(?: here| aquí| ici| hier)?\s*>)",
     "double_square": rf"\[\[\s*{NAME}\s*\]\]",
-    "square": r"\[(?:INSERT|ENTER|ADD|YOUR|EINFÜGEN|INSERTAR|INSÉRER)[ :][^\[\]\n]{1,60}\]|\[[^\[\]\n]{1,60} (?:HERE|AQUÍ|ICI|HIER)\]|\[(?:TBD|TODO|TBC|TK|FIXME)(?:\s*:[^\[\]\n]{1,60})?\]",
+    "square": r"\[(?:INSERT|ENTER|ADD|YOUR|EINFÜGEN|INSERTAR|INSÉRER)[ :][^\[\]\n]{1,60}\]|\[[^\[\]\n]{1,60} (?:HERE|AQUÍ|ICI|HIER)\]|\[(?:TBD|TODO|TBC|TK|FIXME)(?:\s*:[^\[\]\n]{1,60})?\]"
+    # in mixed case too, but for the texts of links and for cross-references
+    r"|(?i:\[(?:(?:insert|enter|add|your|einfügen|insertar|insérer)[ :][^\[\]\n]{1,60}|(?!(?:click|see|look|read|tap|press|go|found|siehe|voir|ver) )[^\[\]\n]{1,60} (?:here|aquí|ici|hier)|(?:tbd|todo|tbc|tk|fixme)(?:\s*:[^\[\]\n]{1,60})?)\](?![(\[]))",
     "object": r"\[object Object\]",
     "blank_value": r"\b(?:Dear|Hello|Hi|Hola|Bonjour|Cher|Chère|Liebe|Lieber|Welcome back,?) (?:undefined|null|NaN|None)\b",
 }

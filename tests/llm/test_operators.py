@@ -311,3 +311,10 @@ def test_residue_far_from_code_is_kept():
     code = "```\n${A}\n\n${B}\n${C} ${D}\n```"
     assert [h[0] for h in residue.find_residue(f"Dear {{{{ first_name }}}}, hello.\n\nLater in the thread:\n{code}\nDone.")] == ["placeholder"]
     assert not residue.find_residue(f"First paragraph.\n\nPut {{{{ first_name }}}} there:\n{code}\nDone.")
+
+
+def test_residue_in_mixed_case():
+    for t in ["Dear [Your Name], hello.", "On [Insert date] we met.", "Sign: <Your Name>", "Dear %first_name%, hello", "Text [Name Here]", "City: [Tbd]"]:
+        assert "placeholder" in [h[0] for h in residue.find_residue(t)], t
+    for t in ["Read [click here](https://a.example) now.", "as shown [see here]", "In the template we write [Your Name].", "Removing 50% of words and 30% more", "Use `%first_name%` once."]:
+        assert not residue.find_residue(t), t
