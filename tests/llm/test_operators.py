@@ -318,3 +318,26 @@ def test_residue_in_mixed_case():
         assert "placeholder" in [h[0] for h in residue.find_residue(t)], t
     for t in ["Read [click here](https://a.example) now.", "as shown [see here]", "In the template we write [Your Name].", "Removing 50% of words and 30% more", "Use `%first_name%` once."]:
         assert not residue.find_residue(t), t
+
+
+def test_leaks_with_a_word_inserted_or_left_out(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    items = [[word() for _ in range(18)] for _ in range(40)]
+    docs = []
+    for i, it in enumerate(items):
+        # the unbroken runs stay under 11 words; the passage also ends the document
+        docs.append((i, " ".join([word() for _ in range(9)] + it[:9] + [word()] + it[9:])))
+        docs.append((100 + i, " ".join([word() for _ in range(9)] + it[:9] + it[10:])))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    e = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = leaks.find_leaks(d, e).collect()
+    assert all(r.doc % 100 == r.item and r.edits == 1 for r in got)
+    for base in (0, 100):
+        assert sum(base <= r.doc < base + 100 for r in got) >= 36
+
+
+def test_end_free_edit_distance():
+    a = np.array([[1, 2, 3, 4]] * 5)
+    b = np.array([[1, 2, 3, 4, 9], [1, 9, 2, 3, 4], [1, 2, 4, 9, 9], [1, 2, 9, 4, 9], [9, 8, 3, 4, 9]])
+    assert leaks.edits_free(a, b, 1).tolist() == [0, 1, 1, 1, 2]
