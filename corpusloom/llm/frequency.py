@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import cut
-from ..operators.rows import canonical_vocab, document_words
+from ..operators.rows import canonical_vocab
+from .bags import LOOKUP, block_sums, encoded_bags
 
 
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -39,93 +40,52 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     return parts.mapInArrow(number, f"`{column}` {kind}, `{name}` bigint")
 
 
-def word_frequencies(corpus: DataFrame, vocab: DataFrame, range_bits: int = 12) -> DataFrame:
-    """(word, total_freq, doc_freq): see ``count_words``."""
-    return count_words(document_words(corpus, vocab), vocab, range_bits)
+def _coded(corpus: DataFrame, vocab: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(bags, dictionary (word, code)): documents as counts of dense word codes."""
+    ids = canonical_vocab(vocab)
+    dictionary = cut(dense_ids(ids.select("word"), "word", "code"))
+    return encoded_bags(corpus, ids.join(dictionary, "word").select("term_id", F.col("code").cast("int").alias("code")), limit), dictionary
 
 
-def count_words(words_of: DataFrame, vocab: DataFrame, range_bits: int = 12) -> DataFrame:
+def word_frequencies(corpus: DataFrame, vocab: DataFrame, range_bits: int = 12, limit: int = LOOKUP) -> DataFrame:
     """(word, total_freq, doc_freq): counts over the last loaded state of every document.
 
     Method: the words of the vocabulary get dense global integers; the documents' terms are
     encoded by them; every task adds occurrences and presences into count arrays for ranges of
     2^``range_bits`` identifiers, only for ranges it meets; the arrays of a range are then summed,
-    streaming, where that range belongs.  A hot word costs one slot per task.
+    streaming, where that range belongs.  A hot word costs one slot per task.  A dictionary of more
+    than ``limit`` ids is joined and not sent to the tasks.
 
     Words that never occur give no row.  Null tokens, null entries, ids the vocabulary lacks, and
     documents without a word count nothing; several ids of one word in a document count once for
     its document frequency.  Empty tables give no rows; other columns are ignored.
     """
-    ids = canonical_vocab(vocab).select("word_id", "word").distinct()
-    dictionary = cut(dense_ids(ids, "word", "code").join(ids, "word").select("word", "word_id", "code"))
-    counts = words_of.join(dictionary.select("word_id", "code"), "word_id").select("code", "n")
-    return _range_sums(counts, range_bits).join(dictionary.select("word", "code"), "code").select("word", "total_freq", "doc_freq")
+    bags, dictionary = _coded(corpus, vocab, limit)
+    return block_sums(bags, range_bits).join(dictionary, "code").select("word", "total_freq", "doc_freq")
 
 
-def _range_sums(counts: DataFrame, bits: int) -> DataFrame:
-    """(code, total_freq, doc_freq) from rows (code, n), one row per record and code."""
-    width = 1 << bits
-    shape = "block bigint, occ array<bigint>, pres array<bigint>"
-
-    def arrays(held):
-        blocks = pa.array(list(held), pa.int64())
-        flat = [np.concatenate([held[b][i] for b in held]) if held else np.zeros(0, np.int64) for i in (0, 1)]
-        at = pa.array(np.arange(len(held) + 1, dtype=np.int32) * width)
-        return pa.RecordBatch.from_arrays([blocks, *(pa.ListArray.from_arrays(at, pa.array(f)) for f in flat)], names=["block", "occ", "pres"])
-
-    def count(batches):
-        held = {}
-        for b in batches:
-            code, n = b.column("code").to_numpy(), b.column("n").to_numpy().astype(np.int64)
-            order = np.argsort(code >> bits, kind="stable")
-            code, n = code[order], n[order]
-            edges = np.nonzero(np.r_[True, (code[1:] >> bits) != (code[:-1] >> bits)])[0] if len(code) else []
-            for lo, hi in zip(edges, [*edges[1:], len(code)]):
-                slot = code[lo:hi] & (width - 1)
-                block = int(code[lo] >> bits)
-                occ, pres = held.setdefault(block, (np.zeros(width, np.int64), np.zeros(width, np.int64)))
-                occ += np.bincount(slot, n[lo:hi], width).astype(np.int64)
-                pres += np.bincount(slot, minlength=width)
-            if len(held) >= 256:
-                yield arrays(held)
-                held = {}
-        if held:
-            yield arrays(held)
-
-    def add(batches):
-        held = {}
-        for b in batches:
-            occ = b.column("occ").flatten().to_numpy().reshape(-1, width)
-            pres = b.column("pres").flatten().to_numpy().reshape(-1, width)
-            for i, block in enumerate(b.column("block").to_pylist()):
-                a, c = held.setdefault(block, (np.zeros(width, np.int64), np.zeros(width, np.int64)))
-                a += occ[i]
-                c += pres[i]
-        for block, (a, c) in held.items():
-            at = np.nonzero(c)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(block * width + at), pa.array(a[at]), pa.array(c[at])], names=["code", "total_freq", "doc_freq"])
-
-    partial = counts.mapInArrow(count, shape)
-    return partial.repartition("block").mapInArrow(add, "code bigint, total_freq bigint, doc_freq bigint")
-
-
-def marked_words(corpus: DataFrame, vocab: DataFrame, options: DataFrame) -> DataFrame:
+def marked_words(corpus: DataFrame, vocab: DataFrame, options: DataFrame, limit: int = LOOKUP) -> DataFrame:
     """(option_set, word, doc_freq, total_freq, mark): words outside the bounds of each option row.
 
     ``rare``: doc_freq < min_doc_freq; ``common``: doc_freq > ceil(D * max_doc_fraction), D the
     number of documents with a word.  A word can bear both marks.  A null bound marks nothing;
-    NaN as fraction marks nothing.  ``options`` is a handful of settings and is sent to every task
-    only because its size is checked here.
+    NaN as fraction marks nothing.  Counts are those of ``word_frequencies``; one pass over the
+    documents gives both them and D, as a word every document holds.  Bounds become rows
+    (option, least and greatest frequency) that are met by frequency, not by word: at most one
+    row per option and distinct frequency.
     """
-    words_of = cut(document_words(corpus, vocab))
-    freq = cut(count_words(words_of, vocab))
-    total = words_of.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("d"))
-    o = options.select("option_set", "min_doc_freq", "max_doc_fraction").distinct().crossJoin(total)
-    if options.count() <= 10_000:
-        o = F.broadcast(o)
-    both = freq.crossJoin(o)
-    limit = F.ceil(F.col("d") * F.col("max_doc_fraction"))
-    rare = both.filter(F.col("doc_freq") < F.col("min_doc_freq")).withColumn("mark", F.lit("rare"))
-    usual = F.col("max_doc_fraction").isNotNull() & ~F.isnan("max_doc_fraction")
-    common = both.filter(usual).filter(F.col("doc_freq") > limit).withColumn("mark", F.lit("common"))
-    return rare.unionByName(common).select("option_set", "word", "doc_freq", "total_freq", "mark")
+    bags, dictionary = _coded(corpus, vocab, limit)
+    # one code more than the dictionary's, which every document bears once
+    mark = F.array(F.lit(-1))
+    every = bags.select(F.concat(mark, "words").alias("words"), F.concat(F.array(F.lit(1)), "counts").alias("counts"))
+    sums = cut(block_sums(every))
+    freq = sums.filter("code >= 0")
+    total = sums.filter("code = -1").agg(F.max("doc_freq").alias("d")).first()["d"] or 0
+    o = options.select("option_set", "min_doc_freq", "max_doc_fraction").distinct()
+    fraction = F.when(~F.isnan("max_doc_fraction"), F.col("max_doc_fraction"))
+    most = F.ceil(F.lit(total) * fraction)
+    bounds = o.select("option_set", F.array(F.struct(F.lit("rare").alias("mark"), F.lit(None).cast("bigint").alias("over"), F.col("min_doc_freq").cast("bigint").alias("under")), F.struct(F.lit("common").alias("mark"), most.cast("bigint").alias("over"), F.lit(None).cast("bigint").alias("under"))).alias("b")).select("option_set", F.inline("b")).filter("over is not null or under is not null")
+    # a theta join of the few distinct frequencies with the bounds, then an equality join with the words
+    some = freq.select("doc_freq").distinct()
+    hit = some.join(F.broadcast(bounds) if options.count() <= 10_000 else bounds, (F.col("doc_freq") > F.col("over")) | (F.col("doc_freq") < F.col("under")))
+    return freq.join(hit, "doc_freq").join(dictionary, "code").select("option_set", "word", "doc_freq", "total_freq", "mark")

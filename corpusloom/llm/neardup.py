@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import cut
-from ..operators.rows import canonical_vocab, document_terms, join_on_terms
+from ..functions.session import cut, small
+from .bags import LOOKUP, block_sums, document_bags, lookup, spans
 from .components import components
 from .trie import self_join
 
@@ -21,51 +21,45 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def bags(corpus: DataFrame, vocab: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, size, bag): word counts of the last state of every document of enough words.
-
-    ``bag`` is an array of (df, word_id, n), rarest word first, so equal documents have equal bags.
-    """
-    terms = cut(document_terms(corpus))
-    ids = canonical_vocab(vocab).select("term_id", "word_id").join(terms.groupBy("term_id").agg(F.count(F.lit(1)).alias("df")), "term_id")
-    words = ids.groupBy("word_id").agg(F.sum("df").alias("df"))
-    ids = ids.select("term_id", "word_id").join(words, "word_id")
-    counted = join_on_terms(terms, ids).groupBy("doc_id", "word_id").agg(F.sum("n").cast("int").alias("n"), F.max("df").alias("df"))
-    packed = counted.groupBy("doc_id").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct("df", "word_id", "n"))).alias("bag"))
-    return packed.filter(F.col("size") >= min_words)
+def _rarity(bags: DataFrame, limit: int):
+    """(lookup or None, frame (code, df)): in how many of the bags each word stands."""
+    return lookup(block_sums(bags).select(F.col("code").cast("int").alias("code"), F.col("doc_freq").alias("df")), "code", "df", limit=limit)
 
 
-def _postings(threshold: float, width: int):
-    """Arrow function: documents to one row per prefix element, with the document's sketch."""
+def _postings(threshold: float, width: int, held):
+    """Arrow function: (rep, words, counts[, dfs]) to one row per prefix element, with the document's sketch."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             rep = b.column("rep").to_numpy()
-            bag = b.column("bag")
-            flat = bag.flatten()
-            word, n = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("word_id", "n"))
-            per = np.diff(bag.offsets.to_numpy())
-            doc = np.repeat(np.repeat(np.arange(len(rep)), per), n)
-            run_start = np.repeat(np.cumsum(n) - n, n)
-            nth = np.arange(len(doc)) - run_start
+            flat, per = spans(b.column("words"))
+            word = flat.to_numpy(zero_copy_only=False)
+            n = b.column("counts").flatten().to_numpy(zero_copy_only=False)
+            if held is None:
+                df = b.column("dfs").flatten().to_numpy(zero_copy_only=False)
+            else:
+                df = held.value.values[0][held.value.find(word)[1]]
+            # rarest words first, ties by word
+            doc = np.repeat(np.arange(len(rep)), per)
+            order = np.lexsort((word, df, doc))
+            word, n, doc = word[order], n[order], np.repeat(doc, n)
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
             h = _mix((np.repeat(word, n).astype(np.uint64) << np.uint64(32)) ^ (nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
             size = np.bincount(doc, minlength=len(rep))
             bit = (_mix(h + np.uint64(1)) % np.uint64(width)).astype(np.int64)
-            odd = np.zeros((len(rep), width), np.uint8)
-            np.bitwise_xor.at(odd.reshape(-1), doc * width + bit, 1)
+            odd = (np.bincount(doc * width + bit, minlength=len(rep) * width) & 1).astype(np.uint8).reshape(len(rep), width)
             sketch = np.packbits(odd, axis=1)
             place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
             probe = size - np.ceil(threshold * size - 1e-9).astype(int) + 1
-            index = size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(int) + 1
             keep = place < probe[doc]
             d = doc[keep]
             at = pa.array(np.arange(len(d) + 1, dtype=np.int32) * sketch.shape[1])
             rows = pa.Array.from_buffers(pa.binary(), len(d), [None, at.buffers()[1], pa.py_buffer(np.ascontiguousarray(sketch[d]).tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[keep].view(np.int64)), pa.array(rep[d]), pa.array(size[d].astype(np.int32)), pa.array(place[keep] < index[d]), rows],
-                names=["token", "rep", "size", "index", "sketch"],
+                [pa.array(h[keep].view(np.int64)), pa.array(rep[d]), pa.array(size[d].astype(np.int32)), pa.array(place[keep].astype(np.int32)), rows],
+                names=["token", "rep", "size", "place", "sketch"],
             )
 
     return run
@@ -81,20 +75,20 @@ def _trie_pairs(threshold: float, rows_at_once: int = 1 << 18):
     def join(table):
         head = table.column("head").to_numpy()
         rep, size = table.column("rep").to_numpy(), table.column("size").to_numpy().astype(np.int64)
-        index = table.column("index").to_numpy(zero_copy_only=False).astype(bool)
+        left = size - table.column("place").to_numpy()
         mine, cross = table.column("block").to_numpy(), table.column("cross").to_numpy(zero_copy_only=False).astype(bool)
         col = table.column("sketch").combine_chunks()
         col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
         sk = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(head), -1)
-        for i, j in self_join(head, sk, budget, size):
-            # the smaller document must hold the element in its shorter, indexed prefix
-            less = (size[i] < size[j]) | ((size[i] == size[j]) & (rep[i] < rep[j]))
-            lo, hi = np.where(less, i, j), np.where(less, j, i)
-            keep = index[lo] & (size[lo] >= threshold * size[hi] - 1e-9) & (rep[lo] != rep[hi])
-            keep &= ~cross[lo] | (mine[lo] != mine[hi])
-            a, b = rep[lo[keep]], rep[hi[keep]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        def fits(i, j):
+            """Whether the rows may be similar if this is the first element they share: what is left of both is enough."""
+            keep = np.minimum(left[i], left[j]) >= np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
+            return keep & (rep[i] != rep[j]) & (~cross[i] | (mine[i] != mine[j]))
+
+        for i, j in self_join(head, sk, budget, size, fits):
+            a, b = rep[i], rep[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
         held, rows = [], 0
@@ -119,21 +113,21 @@ def _trie_pairs(threshold: float, rows_at_once: int = 1 << 18):
 def _similar(threshold: float):
     """Arrow function: exact sum(min) / sum(max) of the two bags of each candidate pair."""
 
-    def side(bag):
-        flat = bag.flatten()
-        pair = np.repeat(np.arange(len(bag)), np.diff(bag.offsets.to_numpy()))
-        key = (pair.astype(np.int64) << 32) | (flat.field("word_id").to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF)
-        order = np.argsort(key)
-        return key[order], flat.field("n").to_numpy(zero_copy_only=False).astype(np.int64)[order]
+    def side(words, counts):
+        flat, per = spans(words)
+        key = (np.repeat(np.arange(len(per)), per) << 32) | flat.to_numpy(zero_copy_only=False).astype(np.int64)
+        return key, counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            (ka, na), (kb, nb) = side(b.column("bag_a")), side(b.column("bag_b"))
-            common, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-            least = np.bincount(common >> 32, np.minimum(na[ia], nb[ib]), b.num_rows)
-            size = b.column("size_a").to_numpy() + b.column("size_b").to_numpy()
+            # words ascend within a document, so both key arrays are sorted
+            (ka, na), (kb, nb) = (side(b.column(f"words_{x}"), b.column(f"counts_{x}")) for x in "ab")
+            at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+            hit = kb[at] == ka
+            least = np.bincount(ka[hit] >> 32, np.minimum(na[hit], nb[at[hit]]), b.num_rows)
+            size = np.bincount(ka >> 32, na, b.num_rows) + np.bincount(kb >> 32, nb, b.num_rows)
             sim = least / (size - least)
             keep = least >= threshold * (size - least) - 1e-9
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sim)], names=["a", "b", "similarity"]).filter(pa.array(keep))
@@ -141,7 +135,7 @@ def _similar(threshold: float):
     return run
 
 
-def near_duplicates(corpus: DataFrame, vocab: DataFrame, threshold: float = 0.8, min_words: int = 10, width: int = 256, hot_rows: int = 16_384):
+def near_duplicates(corpus: DataFrame, vocab: DataFrame, threshold: float = 0.8, min_words: int = 10, width: int = 256, hot_rows: int = 16_384, limit: int = LOOKUP):
     """Pairs of different texts of similarity >= ``threshold``, and the classes of equal texts.
 
     Returns (links, members).  ``links``: (a, b, similarity), a < b, one row for each two classes;
@@ -156,40 +150,58 @@ def near_duplicates(corpus: DataFrame, vocab: DataFrame, threshold: float = 0.8,
     share one; below it a binary trie of the sketches is joined with itself, node pair by node
     pair, and pruned by the budget.  What remains is compared exactly.  An element that more than
     ``hot_rows`` documents hold is split: the documents are dealt into blocks and each two blocks
-    meet in a task of their own.
+    meet in a task of their own.  Lookup tables of more than ``limit`` rows are joined and not sent.
 
     A document is its last loaded state; null tokens, null entries and unknown ids are dropped;
     documents of fewer than ``min_words`` words and null doc_ids are left out.  Equal texts form
     one class and are compared once.  Empty tables give no rows; other columns are ignored.
     """
-    docs = bags(corpus, vocab, min_words).withColumn("h1", F.xxhash64("bag")).withColumn("h2", F.xxhash64(F.lit(17), "bag"))
-    docs = cut(docs)
+    total = F.aggregate("counts", F.lit(0), lambda s, x: s + x)
+    bags = document_bags(corpus, vocab, limit).withColumn("size", total).filter(F.col("size") >= min_words)
+    docs = cut(bags.select("doc_id", "words", "counts", F.xxhash64("words", "counts").alias("h1"), F.xxhash64(F.lit(17), "counts", "words").alias("h2")))
     classes = docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     members = docs.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", F.col("rep").alias("class_id"))
-    reps = cut(docs.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "size", "bag"))
-    rows = cut(reps.select("rep", "bag").mapInArrow(_postings(threshold, width), "token bigint, rep bigint, size int, index boolean, sketch binary"))
-    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    rows = rows.join(held, "token")
-    blocks = F.ceil(F.col("held") / hot_rows).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # the smallest doc_id of a class stands for it; the join is on what the docs are known by
+    reps = docs.join(classes, ["h1", "h2"]).filter(F.col("doc_id") == F.col("rep")).select("rep", "words", "counts")
+    held, rarity = _rarity(docs, limit)
+    shape = "token bigint, rep bigint, size int, place int, sketch binary"
+    if held is None:
+        flat = reps.select("rep", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("rep", "at", F.col("x.words").alias("code"), F.col("x.counts").alias("n")).join(rarity, "code")
+        packed = flat.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "code", "n", "df"))).alias("b"))
+        listed = packed.select("rep", *[F.transform("b", lambda x, f=f: x[f]).alias(name) for f, name in (("code", "words"), ("n", "counts"), ("df", "dfs"))])
+    else:
+        listed = reps
+    rows = cut(listed.mapInArrow(_postings(threshold, width, held), shape))
+    # only elements of more than hot_rows documents need a row of their own: the others form one block
+    hot, few = small(rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > hot_rows))
+    rows = rows.join(hot, "token", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("held") / hot_rows), F.lit(1)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select(F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", lo, hi)).alias("head"), "rep", "size", "index", "block", (lo != hi).alias("cross"), "sketch")
+    rows = rows.select(F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", lo, hi)).alias("head"), "rep", "size", "place", "block", (lo != hi).alias("cross"), "sketch")
     pairs = rows.repartition("head").sortWithinPartitions("head").mapInArrow(_trie_pairs(threshold), "a bigint, b bigint").distinct()
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("size").alias(f"size_{x}"), F.col("bag").alias(f"bag_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "bag_a", "bag_b")
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("words").alias(f"words_{x}"), F.col("counts").alias(f"counts_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "words_a", "counts_a", "words_b", "counts_b")
     links = cut(both.mapInArrow(_similar(threshold), "a bigint, b bigint, similarity double"))
     return links, members
 
 
-def duplicate_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b: every two similar documents, equal ones included."""
+def duplicate_pairs(links: DataFrame, members: DataFrame, block_rows: int = 1024) -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b: every two similar documents, equal ones included.
+
+    A class of more than ``block_rows`` copies is dealt into blocks, and each two blocks meet under a
+    key of their own, so that no task writes all pairs of a class.
+    """
     m = cut(members)
+    copies = m.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    m = cut(m.join(copies, "class_id").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     a = m.select(F.col("doc_id").alias("x"), F.col("class_id").alias("a"))
     b = m.select(F.col("doc_id").alias("y"), F.col("class_id").alias("b"))
     across = links.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    many = m.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class_id")
-    within = a.join(many, F.col("a") == F.col("class_id"), "left_semi").join(b, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y")
+    met = m.filter("n > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("class_id", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id")
+    key = ["class_id", "lo", "hi"]
+    met = met.select(*key, F.col("block").alias("p"), F.col("doc_id").alias("x")).join(met.select(*key, F.col("block").alias("q"), F.col("doc_id").alias("y")), key)
+    within = met.filter("x < y and (lo = hi or p <> q)").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 

@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import cut, small
-from ..operators.rows import canonical_vocab, document_words
+from ..functions.session import cut
+from ..operators.rows import canonical_vocab
+from .bags import LOOKUP, block_sums, document_bags, lookup, spans
+from .frequency import dense_ids
 
 
 def fit_null(basket_size, baskets, item_freq, items, rounds: int = 400, tolerance: float = 1e-10):
@@ -88,41 +90,73 @@ def _mills(w: np.ndarray) -> np.ndarray:
     return 0.5 * t * np.exp(np.polyval(ERFC[::-1], t)) * np.sqrt(2.0 * np.pi)
 
 
-def _grouped(degree: np.ndarray, count: np.ndarray, exact: int = 1000, width: float = 0.01):
-    """Degrees above ``exact`` joined in groups of relative width ``width``; bounds the number of classes."""
-    label = _grouped_label(degree, exact, width)
-    u, at = np.unique(label, return_inverse=True)
-    n = np.bincount(at, count)
-    return u, np.bincount(at, degree * count) / n, n
+#: A group of pair keys: 256 rarer items (upper bits of the first rank) by 65,536 partners, so a group's counts fit in memory.
+RARER, PARTNERS = 8, 16
 
 
-def _slices(limit: float | None, total: int, at_once: int = 1 << 20):
-    """Arrow function: documents (items sorted by df) to sorted blocks of pair keys.
+def _coded(keys: np.ndarray, n: np.ndarray, codec: pa.Codec) -> bytes:
+    """Sorted keys as differences and their counts, byte plane by byte plane, compressed."""
+    step = np.diff(keys, prepend=0).astype(np.uint64)
+    planes = np.concatenate([step.view(np.uint8).reshape(-1, 8).T.ravel(), n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()])
+    return np.int64(len(keys)).tobytes() + codec.compress(planes.tobytes(), asbytes=True)
 
-    A key holds the rarer item in its upper and the other one in its lower 32 bits.  Rows: block
-    (256 rarer items), keys (the sorted keys' differences, 64 bits each; a pair met twice gives a 0).
+
+def _decoded(blob, codec: pa.Codec) -> tuple[np.ndarray, np.ndarray]:
+    view = memoryview(blob)
+    size = int(np.frombuffer(view[:8], np.int64)[0])
+    planes = np.frombuffer(codec.decompress(view[8:], 12 * size), np.uint8)
+    step = np.ascontiguousarray(planes[: 8 * size].reshape(8, size).T).view(np.uint64).ravel()
+    n = np.ascontiguousarray(planes[8 * size :].reshape(4, size).T).view(np.uint32).ravel()
+    return np.cumsum(step.astype(np.int64)), n.astype(np.int64)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    heads = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
+    return keys[heads], np.add.reduceat(n, heads)
+
+
+def _slices(limit: float | None, total: int, held, at_once: int = 1 << 22):
+    """Arrow function: documents to counted, compressed groups of pair keys.
+
+    A key holds the rank of the rarer item in its upper and of the other in its lower 32 bits.
+    Each task sums what ``at_once`` pairs have in common before it hands them on.
     """
+    group = lambda keys: (keys >> (32 + RARER) << 32) | ((keys & 0xFFFFFFFF) >> PARTNERS)
 
-    def flush(held):
-        keys = np.sort(np.concatenate(held))
-        block = keys >> 40
-        heads = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0]
-        step = np.diff(keys, prepend=0)
-        step[heads] = keys[heads]
-        at = (np.r_[heads, len(keys)] * 8).astype(np.int64)
-        blobs = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(step.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(block[heads]), blobs.cast(pa.binary())], names=["block", "keys"])
+    def flush(pending):
+        keys = np.sort(np.concatenate(pending))
+        heads = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
+        n = np.diff(np.r_[heads, len(keys)])
+        keys = keys[heads]
+        at = group(keys)
+        # a group is a run only where all partners fall into one range; else the runs are brought together
+        if (at[1:] < at[:-1]).any():
+            order = np.argsort(at, kind="stable")
+            keys, n, at = keys[order], n[order], at[order]
+        edges = np.nonzero(np.r_[True, at[1:] != at[:-1]])[0]
+        codec = pa.Codec("zstd", 1)
+        blobs = [_coded(keys[lo:hi], n[lo:hi], codec) for lo, hi in zip(edges, [*edges[1:], len(keys)])]
+        return pa.RecordBatch.from_arrays([pa.array(at[edges]), pa.array(blobs, pa.binary())], names=["block", "keys"])
 
     def run(batches):
-        held, rows = [], 0
+        pending, rows = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            items = b.column("items")
-            flat = items.flatten()
-            df = flat.field("df").to_numpy(zero_copy_only=False).astype(float)
-            item = flat.field("item").to_numpy(zero_copy_only=False).astype(np.int64)
-            per = np.diff(items.offsets.to_numpy())
+            flat, per = spans(b.column("items"))
+            item = flat.to_numpy(zero_copy_only=False)
+            if held is None:
+                df = b.column("dfs").flatten().to_numpy(zero_copy_only=False).astype(float)
+                item = item.astype(np.int64)
+            else:
+                known, at = held.value.find(item)
+                doc = np.repeat(np.arange(len(per)), per)[known]
+                key = np.sort((doc << 32) | held.value.values[0][at[known]])
+                per, item = np.bincount(key >> 32, minlength=len(per)), key & 0xFFFFFFFF
+                df = held.value.by_rank[item].astype(float)
             end = np.repeat(np.cumsum(per), per)
             at = np.arange(len(item))
             if limit is not None and len(item):
@@ -138,36 +172,28 @@ def _slices(limit: float | None, total: int, at_once: int = 1 << 20):
                 hi = max(lo + 1, int(np.searchsorted(cum, done + at_once - rows, side="right")))
                 i = np.repeat(np.arange(lo, hi), reach[lo:hi])
                 j = i + 1 + np.arange(len(i)) - np.repeat(cum[lo:hi] - reach[lo:hi] - done, reach[lo:hi])
-                held.append((item[i] << 32) | item[j])
+                pending.append((item[i] << 32) | item[j])
                 rows += len(i)
                 if rows >= at_once:
-                    yield flush(held)
-                    held, rows = [], 0
+                    yield flush(pending)
+                    pending, rows = [], 0
                 lo = hi
         if rows:
-            yield flush(held)
+            yield flush(pending)
 
     return run
 
 
 def _sums(min_count: int, bound=None, at_once: int = 1 << 21):
-    """Arrow function over rows sorted by block: exact counts (a, b, n_ab) of at least ``min_count``.
+    """Arrow function over rows sorted by group: exact counts (a, b, n_ab) of at least ``min_count``.
 
-    One block is held at a time, and of it only its distinct pairs and what is not yet added.
+    One group is held at a time, and of it only its distinct pairs and what is not yet added.
     ``bound(a, b)`` may give a greater least count.
     """
 
     def merge(known, pending):
-        keys = np.sort(np.concatenate(pending))
-        heads = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
-        u, n = keys[heads], np.diff(np.r_[heads, len(keys)])
-        if known is None:
-            return u, n
-        all_k, all_n = np.concatenate([known[0], u]), np.concatenate([known[1], n])
-        order = np.argsort(all_k, kind="stable")
-        all_k, all_n = all_k[order], all_n[order]
-        heads = np.nonzero(np.r_[True, all_k[1:] != all_k[:-1]])[0]
-        return all_k[heads], np.add.reduceat(all_n, heads)
+        parts = pending if known is None else [known, *pending]
+        return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
     def out(known):
         keys, n = known
@@ -177,9 +203,10 @@ def _sums(min_count: int, bound=None, at_once: int = 1 << 21):
         if bound is not None:
             keep = n >= bound(a, b)
             a, b, n = a[keep], b[keep], n[keep]
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "n_ab"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n_ab"])
 
     def run(batches):
+        codec = pa.Codec("zstd", 1)
         block, known, pending, rows = None, None, [], 0
         for batch in batches:
             for at, blob in zip(batch.column("block").to_pylist(), batch.column("keys")):
@@ -189,9 +216,8 @@ def _sums(min_count: int, bound=None, at_once: int = 1 << 21):
                     if known is not None:
                         yield out(known)
                     block, known, pending, rows = at, None, [], 0
-                keys = np.cumsum(np.frombuffer(blob.as_buffer(), np.int64))
-                pending.append(keys)
-                rows += len(keys)
+                pending.append(_decoded(blob.as_buffer(), codec))
+                rows += len(pending[-1][0])
                 if rows >= at_once:
                     known, pending, rows = merge(known, pending), [], 0
         if pending:
@@ -202,73 +228,102 @@ def _sums(min_count: int, bound=None, at_once: int = 1 << 21):
     return run
 
 
-def item_pairs(baskets: DataFrame, min_count: int = 8, min_npmi: float | None = 0.6) -> DataFrame:
-    """(item_a, item_b, n_ab, n_a, n_b, npmi, expected, ln_p, q): items that stand together.
+def item_pairs(baskets: DataFrame, min_count: int = 8, min_npmi: float | None = 0.6, max_q: float | None = None, limit: int = LOOKUP) -> DataFrame:
+    """``list_pairs`` over rows (basket BIGINT, item INT), item >= 0; repeated rows count once.
 
-    ``baskets``: rows (basket BIGINT, item INT), item >= 0; repeated rows count once, null baskets
-    and items are left out.  ``n_ab`` is exact.  ``npmi`` is ln(n_ab D / (n_a n_b)) / -ln(n_ab / D), 1
-    for a pair in all baskets.  ``expected`` and ``ln_p`` come from the fitted null that honours every
-    item's frequency and every basket's size (bipartite configuration model on degree classes,
-    Poisson-binomial upper tail), ``q`` is the false discovery rate at that p (among all pairs of
-    items; pairs below the bounds count as not surprising, so q is never too small).
-
-    Only pairs with n_ab >= ``min_count`` and npmi >= ``min_npmi`` come out.  Both bounds prune
-    exactly before any pair is formed: rarer items are dropped, and since n_ab is at most the rarer
-    item's count, an item meets only items of at most D (n / D)^min_npmi baskets.  Pairs travel as
-    sorted, difference-coded blocks and are summed block by block; a long basket goes in slices.  With
-    ``min_npmi`` None all pairs are counted.  Empty tables give no rows.
+    Null baskets and items are left out; other columns are ignored; an empty table gives no rows.
     """
-    rows = cut(baskets.select("basket", "item").filter("basket is not null and item is not null and item >= 0").distinct())
-    spark = rows.sparkSession
-    total = rows.select("basket").distinct().count()
-    freq = rows.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    kept, small_side = small(freq.filter(F.col("df") >= min_count))
-    lists = rows.join(kept, "item").groupBy("basket").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("items"))
-    bound = None
-    if small_side and min_npmi is not None:
-        # npmi >= t means n_ab / D >= (n_a n_b / D^2)^(1 / (1 + t)); the items fit in memory here
-        table = kept.orderBy("item").toArrow()
-        held = spark.sparkContext.broadcast((table.column("item").to_numpy(), table.column("df").to_numpy()))
+    rows = baskets.select("basket", F.col("item").cast("int").alias("item")).filter("basket is not null and item is not null and item >= 0")
+    return list_pairs(rows.groupBy("basket").agg(F.collect_set("item").alias("items")), min_count, min_npmi, max_q, limit)
 
-        def bound(a, b):
-            item, df = held.value
-            x, y = df[np.searchsorted(item, a)] / total, df[np.searchsorted(item, b)] / total
-            return total * (x * y) ** (1 / (1 + min_npmi)) * (1 - 1e-9)
 
-    keys = lists.filter(F.size("items") > 1).select("items").mapInArrow(_slices(min_npmi, max(total, 1)), "block bigint, keys binary")
+def list_pairs(baskets: DataFrame, min_count: int = 8, min_npmi: float | None = 0.6, max_q: float | None = None, limit: int = LOOKUP) -> DataFrame:
+    """(item_a, item_b, n_ab, n_a, n_b, npmi, expected, ln_p, q): items that stand together.
+
+    ``baskets``: rows with ``items``, an array of distinct items >= 0 (INT).  ``n_ab`` is exact.  ``npmi``
+    is ln(n_ab D / (n_a n_b)) / -ln(n_ab / D), 1 for a pair in all baskets.  ``expected`` and ``ln_p`` come
+    from the fitted null that honours every item's frequency and every basket's size (bipartite
+    configuration model on degree classes, Poisson-binomial upper tail), ``q`` is the false discovery
+    rate at that p (among all pairs of items; pairs below the bounds count as not surprising, so q is
+    never too small).
+
+    Only pairs with n_ab >= ``min_count``, npmi >= ``min_npmi`` and q <= ``max_q`` come out; with a bound of
+    None (``min_npmi``, ``max_q``) it selects nothing.  The first two prune exactly before any pair is
+    formed: rarer items are dropped, and since n_ab is at most the rarer item's count, an item meets
+    only items of at most D (n / D)^min_npmi baskets.  Items are ranked by frequency; every task sums
+    its pairs before it hands them on as compressed groups of 256 rarer items by 65,536 partners, which
+    bounds what a reducing task holds; a long basket goes in slices.  A table of more than
+    ``limit`` items is joined and not sent to the tasks.
+    """
+    lists_ = cut(baskets.select("items").filter(F.size("items") > 0))
+    spark = lists_.sparkSession
+    total = lists_.count()
+    counts_of = block_sums(lists_.select(F.col("items").alias("words"), F.array_repeat(F.lit(1), F.size("items")).alias("counts")))
+    freq = cut(counts_of.select(F.col("code").cast("int").alias("item"), F.col("doc_freq").alias("df")))
+    kept = freq.filter(F.col("df") >= min_count)
+    ranks = dense_ids(kept.select(F.struct("df", "item").alias("at")), "at", "rank")
+    held, ranks = lookup(ranks.select(F.col("at.item").alias("item"), F.col("rank").cast("int").alias("rank"), F.col("at.df").alias("df")), "item", "rank", "df", limit=limit)
+    bound = None
+    if held is None:
+        placed = lists_.select(F.monotonically_increasing_id().alias("basket"), F.explode("items").alias("item")).join(ranks, "item")
+        packed = placed.groupBy("basket").agg(F.array_sort(F.collect_list(F.struct("rank", "df"))).alias("b"))
+        source = packed.select(F.transform("b", lambda x: x["rank"]).alias("items"), F.transform("b", lambda x: x["df"]).alias("dfs"))
+    else:
+        table = held.value
+        table.by_rank = np.zeros(len(table.keys), np.int64)
+        table.by_rank[table.values[0]] = table.values[1]
+        held = spark.sparkContext.broadcast(table)
+        source = lists_.select("items")
+        if min_npmi is not None:
+            # npmi >= t means n_ab / D >= (n_a n_b / D^2)^(1 / (1 + t))
+            def bound(a, b):
+                df = held.value.by_rank
+                return total * (df[a] / total * (df[b] / total)) ** (1 / (1 + min_npmi)) * (1 - 1e-9)
+
+    keys = source.filter(F.size("items") > 1).mapInArrow(_slices(min_npmi, max(total, 1), held), "block bigint, keys binary")
     # blobs are large: more and smaller partitions keep an Arrow batch of them small
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = keys.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_sums(min_count, bound), "a int, b int, n_ab bigint")
-    fa = kept.select(F.col("item").alias("a"), F.col("df").alias("n_a"))
-    fb = kept.select(F.col("item").alias("b"), F.col("df").alias("n_b"))
+    counts = keys.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_sums(min_count, bound), "a bigint, b bigint, n_ab bigint")
+    fa = ranks.select(F.col("rank").cast("bigint").alias("a"), F.col("item").alias("item_a"), F.col("df").alias("n_a"))
+    fb = ranks.select(F.col("rank").cast("bigint").alias("b"), F.col("item").alias("item_b"), F.col("df").alias("n_b"))
     d = F.lit(float(max(total, 1)))
     npmi = F.when(F.col("n_ab") >= d, F.lit(1.0)).otherwise(F.log(F.col("n_ab") * d / (F.col("n_a").cast("double") * F.col("n_b"))) / -F.log(F.col("n_ab") / d))
     found = counts.join(fa, "a").join(fb, "b").withColumn("npmi", npmi)
     if min_npmi is not None:
         found = found.filter(F.col("npmi") >= min_npmi)
 
-    # degree histograms: a row per distinct size and frequency, not per basket or item
-    sizes = np.array([tuple(r) for r in rows.groupBy("basket").count().groupBy("count").agg(F.count(F.lit(1))).collect()], float).reshape(-1, 2)
-    freqs = np.array([tuple(r) for r in freq.groupBy("df").agg(F.count(F.lit(1))).collect()], float).reshape(-1, 2)
-    _, size, baskets_of = _grouped(sizes[:, 0], sizes[:, 1])
-    label, f, items_of = _grouped(freqs[:, 0], freqs[:, 1])
-    null = spark.sparkContext.broadcast((fit_null(size, baskets_of, f, items_of), baskets_of, label, f))
-    v = float(freqs[:, 1].sum())
+    # degree histograms: summed by degree in Spark, and beyond 1000 by classes of 1 %, so their size is bounded
+    width = F.floor(F.log(F.col("degree") / 1000) / 0.01)
+    label = F.when(F.col("degree") <= 1000, F.col("degree")).otherwise(1001 + width).alias("label")
+
+    def histogram(degrees):
+        by = degrees.groupBy("degree").agg(F.count(F.lit(1)).alias("n")).groupBy(label).agg(F.sum(F.col("degree") * F.col("n")).alias("s"), F.sum("n").alias("n")).orderBy("label")
+        r = np.array([tuple(x) for x in by.collect()], float).reshape(-1, 3)
+        return r[:, 0].astype(np.int64), r[:, 1] / np.maximum(r[:, 2], 1), r[:, 2]
+
+    _, size, baskets_of = histogram(lists_.select(F.size("items").cast("bigint").alias("degree")))
+    labels, f, items_of = histogram(freq.select(F.col("df").alias("degree")))
+    null = spark.sparkContext.broadcast((fit_null(size, baskets_of, f, items_of), baskets_of, labels))
+    v = float(items_of.sum())
+    columns = ["item_a", "item_b", "n_ab", "n_a", "n_b", "npmi"]
 
     def score(batches):
-        p, copies, label, f = null.value
+        p, copies, labels = null.value
         for b in batches:
             if not b.num_rows:
                 continue
-            at = [np.searchsorted(label, _grouped_label(b.column(c).to_numpy())) for c in ("n_a", "n_b")]
+            at = [_class_of(labels, b.column(c).to_numpy()) for c in ("n_a", "n_b")]
             n = b.column("n_ab").to_numpy().astype(float)
-            mean, ln = np.empty(len(n)), np.empty(len(n))
-            for lo in range(0, len(n), 1024):
+            # a pair's tail depends on its two classes and its count only
+            case, back = np.unique(np.stack([np.minimum(*at), np.maximum(*at), n.astype(np.int64)]), axis=1, return_inverse=True)
+            mean, ln = np.empty(case.shape[1]), np.empty(case.shape[1])
+            for lo in range(0, len(mean), 1024):
                 s = slice(lo, lo + 1024)
-                mean[s], ln[s] = tail((p[:, at[0][s]] * p[:, at[1][s]]).T, copies, n[s])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "n_ab", "n_a", "n_b", "npmi")), pa.array(mean), pa.array(ln)], names=["a", "b", "n_ab", "n_a", "n_b", "npmi", "expected", "ln_p"])
+                mean[s], ln[s] = tail((p[:, case[0, s]] * p[:, case[1, s]]).T, copies, case[2, s].astype(float))
+            back = back.ravel()
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(mean[back]), pa.array(ln[back])], names=[*columns, "expected", "ln_p"])
 
-    scored = cut(found.select("a", "b", "n_ab", "n_a", "n_b", "npmi").mapInArrow(score, "a int, b int, n_ab bigint, n_a bigint, n_b bigint, npmi double, expected double, ln_p double"))
+    scored = cut(found.select(*columns).mapInArrow(score, "item_a int, item_b int, n_ab bigint, n_a bigint, n_b bigint, npmi double, expected double, ln_p double"))
     # step-up procedure on a histogram of ln p: bounded bins, each taken at its greater end
     bins = sorted((int(r[0]), int(r[1])) for r in scored.groupBy(F.least(F.floor(-F.col("ln_p") * 10), F.lit(20000)).alias("bin")).count().collect())
     q, rank, least, tests = {}, sum(n for _, n in bins), np.inf, np.log(max(1.0, v * (v - 1) / 2))
@@ -277,23 +332,22 @@ def item_pairs(baskets: DataFrame, min_count: int = 8, min_npmi: float | None =
         q[bin_] = float(np.exp(least))
         rank -= n
     table = spark.createDataFrame([(k, x) for k, x in q.items()] or [(0, 1.0)], "bin bigint, q double")
-    return (
-        scored.withColumn("bin", F.least(F.floor(-F.col("ln_p") * 10), F.lit(20000)))
-        .join(F.broadcast(table), "bin")
-        .select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_ab", "n_a", "n_b", "npmi", "expected", "ln_p", "q")
-    )
+    out = scored.withColumn("bin", F.least(F.floor(-F.col("ln_p") * 10), F.lit(20000))).join(F.broadcast(table), "bin")
+    if max_q is not None:
+        out = out.filter(F.col("q") <= max_q)
+    return out.select(*columns, "expected", "ln_p", "q")
 
 
-def _grouped_label(degree: np.ndarray, exact: int = 1000, width: float = 0.01) -> np.ndarray:
-    """The class of a degree, as ``_grouped`` numbers them."""
-    return np.where(degree <= exact, degree, exact + 1 + np.floor(np.log(np.maximum(degree, 1) / exact) / width)).astype(np.int64)
+def _class_of(labels: np.ndarray, degree: np.ndarray, exact: int = 1000, width: float = 0.01) -> np.ndarray:
+    """Place of a degree's class in ``labels``; floating point may put an edge one class off, so the nearest counts."""
+    label = np.where(degree <= exact, degree, exact + 1 + np.floor(np.log(np.maximum(degree, 1) / exact) / width)).astype(np.int64)
+    return np.minimum(np.searchsorted(labels, label), len(labels) - 1)
 
 
-def word_pairs(corpus: DataFrame, vocab: DataFrame, min_count: int = 8, min_npmi: float | None = 0.6) -> DataFrame:
-    """``item_pairs`` over the words of the last loaded documents: term_a < term_b by code points."""
-    baskets = document_words(corpus, vocab).select(F.col("doc_id").alias("basket"), F.col("word_id").alias("item"))
+def word_pairs(corpus: DataFrame, vocab: DataFrame, min_count: int = 8, min_npmi: float | None = 0.6, max_q: float | None = None, limit: int = LOOKUP) -> DataFrame:
+    """``list_pairs`` over the words of the last loaded documents: term_a < term_b by code points."""
     names = canonical_vocab(vocab).select("word_id", "word").distinct()
-    found = item_pairs(baskets, min_count, min_npmi)
+    found = list_pairs(document_bags(corpus, vocab, limit).select(F.col("words").alias("items")), min_count, min_npmi, max_q, limit)
     named = found.join(names.select(F.col("word_id").alias("item_a"), F.col("word").alias("wa")), "item_a").join(names.select(F.col("word_id").alias("item_b"), F.col("word").alias("wb")), "item_b")
     first = F.col("wa") < F.col("wb")
     return named.select(

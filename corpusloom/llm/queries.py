@@ -53,11 +53,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return word_pairs(read(spark, sf, "corpus_docs"), read(spark, sf, "vocab"))
+    """All pairs that the fitted null calls surprising at a false discovery rate of 1 %, whatever their NPMI."""
+    return word_pairs(read(spark, sf, "corpus_docs"), read(spark, sf, "vocab"), min_npmi=None, max_q=0.01)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_pairs(spark, sf).select("term_a", "term_b")
+    return word_pairs(read(spark, sf, "corpus_docs"), read(spark, sf, "vocab")).select("term_a", "term_b")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
