@@ -109,7 +109,7 @@ def search(x, links, queries, entry, beam, mark, width=3, limit=40):
 class Graph:
     """Graph over the rows of ``x`` (n, d), float32 unit vectors."""
 
-    def __init__(self, x, degree=18, beam=20, alpha=1.08, seed=7, batch=1024, seed_rows=None):
+    def __init__(self, x, degree=18, beam=20, alpha=1.08, seed=7, batch=512, seed_rows=None):
         n = len(x)
         self.x, self.beam, self.batch = x, beam, batch
         order = np.random.default_rng(seed).permutation(n).astype(np.int32)
@@ -135,7 +135,11 @@ class Graph:
     def _entries(self, q, count=2):
         count = min(count, len(self.pivots))
         s = q @ self.x[self.pivots].T
-        return self.pivots[np.argpartition(-s, count - 1, axis=1)[:, :count]]
+        out, row = np.empty((len(q), count), np.int64), np.arange(len(q))
+        for c in range(count):
+            out[:, c] = s.argmax(1)
+            s[row, out[:, c]] = LOW
+        return self.pivots[out]
 
     def _adopt(self, nodes, cand, sims, degree, alpha):
         """Give the nodes pruned neighbours and their neighbours the way back."""

@@ -41,11 +41,12 @@ def similar_vectors(
     k: int = 5,
     dims: int = 64,
     min_similarity: float | None = None,
-    margin: float = 0.13,
+    margin: float = 0.12,
     shard_rows: int = 32768,
     sample_rows: int = 40000,
     degree: int = 18,
     beam: int = 20,
+    query_beam: int = 12,
     alpha: float = 1.08,
     seed: int = 7,
 ) -> DataFrame:
@@ -58,7 +59,7 @@ def similar_vectors(
     Method.  Equal vectors form a class, which the search treats as one row.  Classes are cut into
     shards of similar vectors by centres fitted on a sample of at most about ``sample_rows`` rows
     a table; every row is indexed.  Each shard grows a robust-pruned directed graph (``degree``,
-    ``alpha``; greedy searches with ``beam`` propose the neighbours).  A row queries its own shard
+    ``alpha``; greedy searches with ``beam`` propose the neighbours; queries take ``query_beam``).  A row queries its own shard
     and every shard whose centre is at most ``margin`` less similar to it than its own; beam
     search finds its best rows there, and the shards' answers are merged and spread over the
     members of each class.  A cell that would exceed 1.5 x ``shard_rows`` is split by key, and then
@@ -126,7 +127,7 @@ def similar_vectors(
             graph = Graph(np.ascontiguousarray(u[inner]), degree, beam, alpha, seed)
             for q, own in ((inner, np.arange(len(inner), dtype=np.int32)), (outer, None)):
                 if len(q):
-                    ids, sims = graph.query(np.ascontiguousarray(u[q]), k, own=own)
+                    ids, sims = graph.query(np.ascontiguousarray(u[q]), k, query_beam, own)
                     i, j = np.nonzero((ids >= 0) & (sims >= low))
                     other = inner[ids[i, j]]
                     keep = rep[q[i]] != rep[other]
