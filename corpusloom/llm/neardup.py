@@ -81,12 +81,14 @@ def _trie_pairs(threshold: float, rows_at_once: int = 1 << 18):
         col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
         sk = np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(head), -1)
 
+        def enough(size_a, left_a, size_b, left_b):
+            """Whether rows may be similar if this is the first element they share: what is left of both must hold the overlap."""
+            return np.minimum(left_a, left_b) >= threshold / (1 + threshold) * (size_a + size_b) - 1e-9
+
         def fits(i, j):
-            """Whether the rows may be similar if this is the first element they share: what is left of both is enough."""
-            keep = np.minimum(left[i], left[j]) >= np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9)
-            return keep & (rep[i] != rep[j]) & (~cross[i] | (mine[i] != mine[j]))
+            return enough(size[i], left[i], size[j], left[j]) & (rep[i] != rep[j]) & (~cross[i] | (mine[i] != mine[j]))
 
-        for i, j in self_join(head, sk, budget, size, fits):
+        for i, j in self_join(head, sk, budget, size, fits, size, left, enough):
             a, b = rep[i], rep[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -168,7 +170,7 @@ def near_duplicates(corpus: DataFrame, vocab: DataFrame, threshold: float = 0.8,
     if held is None:
         flat = reps.select("rep", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("rep", "at", F.col("x.words").alias("code"), F.col("x.counts").alias("n")).join(rarity, "code")
         packed = flat.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "code", "n", "df"))).alias("b"))
-        listed = packed.select("rep", *[F.transform("b", lambda x, f=f: x[f]).alias(name) for f, name in (("code", "words"), ("n", "counts"), ("df", "dfs"))])
+        listed = packed.select("rep", F.col("b.code").alias("words"), F.col("b.n").alias("counts"), F.col("b.df").alias("dfs"))
     else:
         listed = reps
     rows = cut(listed.mapInArrow(_postings(threshold, width, held), shape))

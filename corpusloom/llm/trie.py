@@ -112,21 +112,24 @@ def _range_max(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def self_join(head: np.ndarray, sketch: np.ndarray, budget, prepare, pairs=None, most: int = 1 << 19):
+def self_join(head: np.ndarray, sketch: np.ndarray, budget, prepare, pairs=None, least=None, most_of=None, possible=None, most: int = 1 << 19):
     """Pairs (i, j) whose heads are equal and whose sketches differ in no more bits than allowed.
 
     ``budget(i, j)`` gives the allowed errors for two values of ``prepare`` (its greatest below a node,
     or of a row) and must grow with both.  Node pairs start at every root with itself and are
     expanded together, the shallower node into its two children; bits that differ on the
     part both nodes agree on are the errors so far, and a pair is dropped once they exceed the
-    greatest budget of its rows.  Where both nodes are leaves, ``pairs(i, j)`` may first drop row pairs by
-    what else is known of them.  At most about ``most`` node pairs are open at a time; the rest waits.
+    greatest budget of its rows.  ``possible(low_a, high_a, low_b, high_b)`` may drop a node pair before its
+    bits are read, by the smallest ``least`` and the greatest ``most_of`` below the two nodes, and
+    ``pairs(i, j)`` a row pair.  At most about ``most`` node pairs are open at a time; the rest waits.
     Yields arrays (i, j) of row numbers, each unordered pair once.
     """
     if len(head) < 2:
         return
     t = Trie(head, sketch)
     best, masks = t.greatest(prepare), _masks(t.words.shape[1])
+    if possible is not None:
+        low, high = -t.greatest(-least), t.greatest(most_of)
     leaf = t.left < 0
     many = t.roots[t.last[t.roots] - t.first[t.roots] > 1]
     stack = [many[lo : lo + 65536] for lo in range(0, len(many), 65536)]
@@ -153,6 +156,9 @@ def self_join(head: np.ndarray, sketch: np.ndarray, budget, prepare, pairs=None,
         swap = leaf[x] | (~leaf[y] & (t.depth[y] < t.depth[x]))
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         na, nb = np.concatenate([l, t.left[x], t.right[x]]), np.concatenate([r, y, y])
+        if possible is not None:
+            keep = possible(low[na], high[na], low[nb], high[nb])
+            na, nb = na[keep], nb[keep]
         shared = np.minimum(t.depth[na], t.depth[nb])
         err = np.bitwise_count((t.words[t.show[na]] ^ t.words[t.show[nb]]) & masks[shared]).sum(1)
         keep = err <= budget(best[na], best[nb])
