@@ -90,32 +90,34 @@ def _mills(w: np.ndarray) -> np.ndarray:
     return 0.5 * t * np.exp(np.polyval(ERFC[::-1], t)) * np.sqrt(2.0 * np.pi)
 
 
+#: Bits of a count beside its local key; with the 24 of the key they fill 63.
+COUNT = 39
 #: A group of pair keys: 256 rarer items (upper bits of the first rank) by 65,536 partners, so a group's counts fit in memory.
 RARER, PARTNERS = 8, 16
 
 
 def _coded(keys: np.ndarray, n: np.ndarray, codec: pa.Codec) -> bytes:
-    """Sorted keys as differences and their counts, byte plane by byte plane, compressed."""
-    step = np.diff(keys, prepend=0).astype(np.uint64)
-    planes = np.concatenate([step.view(np.uint8).reshape(-1, 8).T.ravel(), n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()])
-    return np.int64(len(keys)).tobytes() + codec.compress(planes.tobytes(), asbytes=True)
+    """Sorted keys of one group as 32-bit differences, and their counts, byte plane by byte plane, compressed."""
+    step = np.diff(_local(keys), prepend=0).astype(np.uint32)
+    n = n.astype(np.uint32)
+    wide = 4 if n.max() > 255 else 1
+    planes = np.concatenate([step.view(np.uint8).reshape(-1, 4).T.ravel(), n.view(np.uint8).reshape(-1, 4)[:, :wide].T.ravel()])
+    return np.array([len(keys), wide], np.int64).tobytes() + codec.compress(planes.tobytes(), asbytes=True)
 
 
-def _decoded(blob, codec: pa.Codec) -> tuple[np.ndarray, np.ndarray]:
-    view = memoryview(blob)
-    size = int(np.frombuffer(view[:8], np.int64)[0])
-    planes = np.frombuffer(codec.decompress(view[8:], 12 * size), np.uint8)
-    step = np.ascontiguousarray(planes[: 8 * size].reshape(8, size).T).view(np.uint64).ravel()
-    n = np.ascontiguousarray(planes[8 * size :].reshape(4, size).T).view(np.uint32).ravel()
-    return np.cumsum(step.astype(np.int64)), n.astype(np.int64)
+def _local(keys: np.ndarray) -> np.ndarray:
+    """Keys within their group: RARER + PARTNERS bits."""
+    return ((keys >> 32) & ((1 << RARER) - 1)) << PARTNERS | (keys & ((1 << PARTNERS) - 1))
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    heads = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
-    return keys[heads], np.add.reduceat(n, heads)
+def _decoded(blob, codec: pa.Codec) -> np.ndarray:
+    """Local key above and count in the COUNT lower bits of each entry."""
+    view = memoryview(blob)
+    size, wide = (int(x) for x in np.frombuffer(view[:16], np.int64))
+    planes = np.frombuffer(codec.decompress(view[16:], (4 + wide) * size), np.uint8)
+    step = np.ascontiguousarray(planes[: 4 * size].reshape(4, size).T).view(np.uint32).ravel()
+    n = planes[4 * size :].astype(np.int64) if wide == 1 else np.ascontiguousarray(planes[4 * size :].reshape(4, size).T).view(np.uint32).ravel().astype(np.int64)
+    return np.cumsum(step, dtype=np.int64) << COUNT | n
 
 
 def _slices(limit: float | None, total: int, held, at_once: int = 1 << 22):
@@ -191,15 +193,18 @@ def _sums(min_count: int, bound=None, at_once: int = 1 << 21):
     ``bound(a, b)`` may give a greater least count.
     """
 
-    def merge(known, pending):
-        parts = pending if known is None else [known, *pending]
-        return _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    mask = (1 << COUNT) - 1
+
+    def merge(parts):
+        packed = np.sort(np.concatenate(parts))
+        keys = packed >> COUNT
+        heads = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0]
+        return (keys[heads] << COUNT) | np.add.reduceat(packed & mask, heads)
 
-    def out(known):
-        keys, n = known
-        keep = n >= min_count
-        keys, n = keys[keep], n[keep]
-        a, b = keys >> 32, keys & 0xFFFFFFFF
+    def out(block, packed):
+        packed = packed[(packed & mask) >= min_count]
+        key, n = packed >> COUNT, packed & mask
+        a, b = (block >> 32 << RARER) | (key >> PARTNERS), ((block & 0xFFFFFFFF) << PARTNERS) | (key & ((1 << PARTNERS) - 1))
         if bound is not None:
             keep = n >= bound(a, b)
             a, b, n = a[keep], b[keep], n[keep]
@@ -207,23 +212,21 @@ def _sums(min_count: int, bound=None, at_once: int = 1 << 21):
 
     def run(batches):
         codec = pa.Codec("zstd", 1)
-        block, known, pending, rows = None, None, [], 0
+        block, pending, rows = None, [], 0
         for batch in batches:
             for at, blob in zip(batch.column("block").to_pylist(), batch.column("keys")):
                 if at != block:
                     if pending:
-                        known = merge(known, pending)
-                    if known is not None:
-                        yield out(known)
-                    block, known, pending, rows = at, None, [], 0
+                        yield out(block, merge(pending))
+                    block, pending, rows = at, [], 0
                 pending.append(_decoded(blob.as_buffer(), codec))
-                rows += len(pending[-1][0])
+                rows += len(pending[-1])
                 if rows >= at_once:
-                    known, pending, rows = merge(known, pending), [], 0
+                    pending = [merge(pending)]
+                    # what is left of a merge counts little against the next one
+                    rows = min(len(pending[0]), at_once // 2)
         if pending:
-            known = merge(known, pending)
-        if known is not None:
-            yield out(known)
+            yield out(block, merge(pending))
 
     return run
 
@@ -265,7 +268,7 @@ def list_pairs(baskets: DataFrame, min_count: int = 8, min_npmi: float | None =
     held, ranks = lookup(ranks.select(F.col("at.item").alias("item"), F.col("rank").cast("int").alias("rank"), F.col("at.df").alias("df")), "item", "rank", "df", limit=limit)
     bound = None
     if held is None:
-        placed = lists_.select(F.monotonically_increasing_id().alias("basket"), F.explode("items").alias("item")).join(ranks, "item")
+        placed = lists_.withColumn("basket", F.monotonically_increasing_id()).select("basket", F.explode("items").alias("item")).join(ranks, "item")
         packed = placed.groupBy("basket").agg(F.array_sort(F.collect_list(F.struct("rank", "df"))).alias("b"))
         source = packed.select(F.transform("b", lambda x: x["rank"]).alias("items"), F.transform("b", lambda x: x["df"]).alias("dfs"))
     else:
