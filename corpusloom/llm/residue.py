@@ -16,9 +16,13 @@ UPPER = r"[^\W\d_a-zß-öø-ÿ][A-ZÀ-ÖØ-Þ0-9_]{1,40}"
 # fixed values: one grammar for every delimiter
 PLACEHOLDERS = {
     "moustache": rf"\{{\{{\{{?[#/^&>!]?\s*{NAME}(?:\s*\|\s*[\w: '\"]+)*\s*\}}?\}}\}}",
+    "path": r"\{\{\s*[^\W\d]\w*(?:\.\w+|\[['\"]?\w+['\"]?\])+\s*(?:\|[^{}\n]*)?\}\}",
+    "php": r"<\?(?:php|=)\s[^?\n]+\?>",
+    "named_format": r"(?<![\w%])%\([^\W\d]\w*\)[sdif](?!\w)",
     "tag": r"\{%-?\s*(?:block|if|for|include|extends|set|end\w+|else|load|url)\b[^%{}\n]{0,80}%\}",
     "erb": rf"<%[=\-]?\s*@?{NAME}(?:\(\))?\s*-?%>",
-    "shell": rf"\$\{{\s*{NAME}\s*\}}",
+    # variables of the shell are no template's fields
+    "shell": rf"\$\{{\s*(?!(?:HOME|PATH|PWD|SHELL|LANG|TMPDIR|PYTHONPATH|JAVA_HOME|SPARK_HOME)\s*\}}){NAME}\s*\}}",
     "hash": rf"#\{{\s*{NAME}\s*\}}",
     "brace": r"(?<![\w{$#%\\}])\{[^\W\d_]\w{0,40}\}(?![}\w])",
     "percent": rf"(?<![\w%])%(?:{UPPER}|[^\W\d_]\w{{1,40}})%(?![\w%])",
@@ -32,7 +36,9 @@ PLACEHOLDERS = {
     "double_square": rf"\[\[\s*{NAME}\s*\]\]",
     "square": r"\[(?:INSERT|ENTER|ADD|YOUR|EINFÜGEN|INSERTAR|INSÉRER)[ :][^\[\]\n]{1,60}\]|\[[^\[\]\n]{1,60} (?:HERE|AQUÍ|ICI|HIER)\]|\[(?:TBD|TODO|TBC|TK|FIXME)(?:\s*:[^\[\]\n]{1,60})?\]"
     # in mixed case too, but for the texts of links and for cross-references
-    r"|(?i:\[(?:(?:insert|enter|add|your|einfügen|insertar|insérer)[ :][^\[\]\n]{1,60}|(?!(?:click|see|look|read|tap|press|go|found|siehe|voir|ver) )[^\[\]\n]{1,60} (?:here|aquí|ici|hier)|(?:tbd|todo|tbc|tk|fixme)(?:\s*:[^\[\]\n]{1,60})?)\](?![(\[]))",
+    r"|(?i:\[(?:(?:insert|enter|add|your|einfügen|insertar|insérer)[ :][^\[\]\n]{1,60}|(?!(?:click|see|look|read|tap|press|go|found|siehe|voir|ver) )[^\[\]\n]{1,60} (?:here|aquí|ici|hier)|(?:tbd|todo|tbc|tk|fixme)(?:\s*:[^\[\]\n]{1,60})?)\](?![(\[]))"
+    # names of form fields
+    r"|(?i:\[(?:first|last|full|company|customer|client|recipient|sender|product|project|event|contact|street|city|postal|zip|phone|order|invoice|due|start|end|job)[ _](?:name|address|code|number|date|time|title|email|amount|person|id)\](?![(\[]))",
     "object": r"\[object Object\]",
     "blank_value": r"\b(?:Dear|Hello|Hi|Hola|Bonjour|Cher|Chère|Liebe|Lieber|Welcome back,?) (?:undefined|null|NaN|None)\b",
 }
@@ -42,7 +48,9 @@ LATIN = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor tempora incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud "
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat fugit nulla pariatur excepteur "
     "sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae cursus purus libero augue massa porta felis eros quam velum vel "
-    "urna dictum mollis ornare"
+    "urna dictum mollis ornare maecenas diam eget risus varius blandit justo odio dapibus facilisis egestas vestibulum ligula semper praesent nullam integer posuere erat ante "
+    "venenatis aenean lacinia bibendum etiam malesuada euismod cras mattis fermentum vivamus sagittis lacus tellus tortor mauris condimentum nibh donec ullamcorper metus auctor "
+    "fringilla pellentesque habitant morbi tristique senectus netus turpis phasellus viverra"
 )
 
 # fixed values: other filler, behind the words of which a text must hold one
@@ -74,6 +82,8 @@ ERRORS = [
     ("not |forbidden|gateway|unavailable|error|requests|gone|unauthor|bad |time|denied|required|moved", rf"\b[45]\d\d[ :\-–—]+(?:{REASON})\b"),
     ("nicht gefunden|introuvable|no encontrada", r"\b(?:error|fehler|erreur)[^.\n]{0,12}\b[45]\d\d\b[^.\n]{0,6}(?:seite nicht gefunden|page introuvable|página no encontrada)"),
     ("nicht gefunden|introuvable|no encontrada", r"\b(?:seite nicht gefunden|page introuvable|página no encontrada)\b"),
+    ("page not found|server error", _start + r"(?:page not found|internal server error)(?=\s*(?:[.!]|\n|$))"),
+    ("non trouvée|nicht gefunden|encontr", _start + r"(?:page non trouvée|die seite (?:konnte|wurde) nicht gefunden(?: werden)?|no se (?:encontró|ha encontrado|pudo encontrar) la página)(?=\s*(?:[.!]|\n|$))"),
     ("find th|page", r"\bwe could ?n[o']?t find (?:that|the|this) page\b|\bwe could not find (?:that|the|this) page\b|\bgo back to the (?:start|home) ?page\b"),
     ("page you", r"\b(?:the|this) page (?:you are looking for|you requested|you were looking for) (?:does not|doesn't|no longer|could not|cannot|can't) (?:exists?|be found)\b"),
     ("this page|empty response", r"\bthis page (?:isn't|is not) (?:working|available)\b|\bthe server sent an empty response\b"),
@@ -103,31 +113,32 @@ SCRIPTS = [
     ("script", r"\byour browser does not (?:support|allow|run) (?:java ?script|(?:client-side )?scripts?)\b"),
     ("script|browser", r"\bscript execution is (?:switched|turned) off\b|\bscripts and cookies must be (?:allowed|enabled)\b|\bchecking your browser before\b"),
     ("script", r"\bactive (?:java ?script|los scripts) (?:para|en)\b|\bsu navegador tiene java ?script (?:desactivado|deshabilitado)\b|\besta (?:aplicación|página) (?:necesita|requiere) (?:que los scripts|java ?script|scripts)\b|\bhabilite java ?script\b"),
+    ("script", r"\bsie müssen java ?script (?:aktivieren|einschalten)\b|\bvous devez (?:activer|autoriser) java ?script\b|\b(?:debe|tiene que|necesita) (?:activar|habilitar) java ?script\b"),
     ("skript|script", r"\bbitte aktivieren sie java ?script\b|\bihr browser führt keine (?:skripte|scripts) aus\b|\bdiese (?:anwendung|seite) (?:benötigt|braucht|erfordert) (?:aktivierte |aktives )?(?:skripte|scripts|java ?script)\b|\bjava ?script ist (?:deaktiviert|ausgeschaltet|in ihrem browser (?:deaktiviert|ausgeschaltet))\b"),
     ("script", r"\bveuillez activer (?:java ?script|les scripts)\b|\bjava ?script est (?:désactivé|requis|nécessaire)\b|\bcette (?:application|page) (?:exige|nécessite|requiert) (?:des scripts|java ?script|les scripts)\b|\bvotre navigateur (?:n['’]exécute|ne prend|n['’]accepte)\b[^.\n]{0,20}scripts?\b"),
 ]
 
 # fixed values: words of sentences that speak about templates and pages instead of being such
 TALK = (
-    r"\b(?:placeholders? (?:tokens?|such|like)|such as|for example|e\.g\.|in the template|the template|template (?:syntax|language|engine)|report writer|replaces?|we write|syntax|"
+    r"\b(?:placeholders? (?:tokens?|such|like)|such as|for example|e\.g\.|in the template|the template|template (?:syntax|language|engine)|report writer|replaces? (?:the|each|every|all|it|them|an?)|we write|syntax|"
     r"die vorlage|platzhalter wie|la plantilla|le gabarit|users asked|should be dropped|logged|the words?|mit dem code|with code|the message|messages? (?:like|such)|crawled pages|"
-    r"the regex|regular expression|tutorial|documentation says)\b"
+    r"the regex|regular expression|tutorial|documentation says|we (?:saw|see|got|hit|counted))\b"
 )
 
 # what a text must hold, in lower case, before a placeholder grammar is tried
 MARKS = {
-    "moustache": ("{{",), "tag": ("{%",), "erb": ("<%",), "shell": ("${",), "hash": ("#{",), "brace": ("{",), "percent": ("%",), "at": ("@@",), "dunder": ("__",), "merge": ("*|",),
+    "moustache": ("{{",), "path": ("{{",), "php": ("<?",), "named_format": ("%(",), "tag": ("{%",), "erb": ("<%",), "shell": ("${",), "hash": ("#{",), "brace": ("{",), "percent": ("%",), "at": ("@@",), "dunder": ("__",), "merge": ("*|",),
     "xxxx": ("xxx",), "double_angle": ("<<",), "entity": ("&lt;",), "your_here": ("<",), "double_square": ("[[",), "square": ("[",), "object": ("[object",), "blank_value": ("undefined", "null", "nan", "none"),
 }
 LATIN_WORDS = frozenset(LATIN.split())
 WORD = re.compile(r"[^\W\d_]+")
 
 OPEN, CLOSE = "`\"'“„«‘‚”‹", "`\"'”“»’‘›"
-CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code)\b[^>]*>.*?(?:</\1>|\Z)|`[^`\n]{1,200}`", re.S | re.I)
+CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code)\b[^>]*>.*?(?:</\1>|\Z)|`[^`\n]+`", re.S | re.I)
 FORMAT = re.compile("[­؀-؅؜۝܏᠎​-‏‪-‮⁠-⁤⁦-⁯﻿￹-￻]")
 BLANK = re.compile(r"\n[^\S\n]*\n")
 SPACE = re.compile(r"[^\S\n]+")
-QUOTED = re.compile(r"\"[^\"\n]{1,160}\"|“[^”\n]{1,160}”|«[^»\n]{1,160}»|„[^“”\n]{1,160}[“”]|(?<!\w)'[^'\n]{1,160}'(?!\w)")
+QUOTED = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]|(?<!\w)'[^'\n]+'(?!\w)")
 
 KINDS = {
     "placeholder": [(MARKS[name], re.compile(p)) for name, p in PLACEHOLDERS.items()],
@@ -181,6 +192,7 @@ def find_residue(text: str) -> list[tuple[str, int, int]]:
                 found += [(kind, *m.span()) for m in p.finditer(t)]
     # a blank line inside a code block ends no paragraph
     breaks = [m.start() for m in BLANK.finditer(t) if not inside(code, m.start(), m.end())]
+    ends = [0, *(m.end() for m in SENTENCE.finditer(t))] if found else []
     hits, coded = [], Counter()
     for kind, a, b in found:
         while a < b and t[a].isspace():
@@ -190,8 +202,8 @@ def find_residue(text: str) -> list[tuple[str, int, int]]:
             continue
         if (a and t[a - 1] in OPEN and b < len(t) and t[b] in CLOSE) or inside(quotes, a, b):
             continue
-        left = max((m.end() for m in SENTENCE.finditer(t, max(0, a - 80), a)), default=max(0, a - 80))
-        if not TALKS.search(t, left, a):
+        at = bisect(ends, a) - 1
+        if not TALKS.search(t, ends[at], a):
             hits.append((kind, a, b))
     placed = Counter(bisect(breaks, a) for k, a, _ in hits if k == "placeholder")
     return [h for h in hits if h[0] != "placeholder" or coded[bisect(breaks, h[1])] <= 3 * placed[bisect(breaks, h[1])]]
