@@ -60,14 +60,29 @@ def mix_plan(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
     null share or max_repeats counts as 0; of several rows of a source the greatest counts.
     Null and blank texts have 0 tokens.  Empty targets give no rows.
     """
-    t = (
+    t = wanted_shares(targets)
+    return _plan(t, _sized(docs, t, None, vocabulary))
+
+
+def wanted_shares(targets: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats), one row per name."""
+    return (
         targets.select(source_name(F.col("source")).alias("source"), F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("target_share"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(0)).alias("max_repeats"))
         .filter("source is not null")
         .groupBy("source")
         .agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     )
-    listed = docs.select(source_name(F.col("source")).alias("source"), "text").join(t.select("source"), "source", "left_semi")
-    sizes = token_counts(listed, "text", vocabulary).groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+
+
+def _sized(docs: DataFrame, targets: DataFrame, key: str | None, vocabulary: str) -> DataFrame:
+    """(source, doc_id, tokens) of the documents of listed sources; without ``key`` doc_id is null."""
+    doc_id = F.lit(None).cast("bigint") if key is None else F.col(key).cast("bigint")
+    listed = docs.select(source_name(F.col("source")).alias("source"), doc_id.alias("doc_id"), "text").join(targets.select("source"), "source", "left_semi")
+    return token_counts(listed, "text", vocabulary).select("source", "doc_id", "tokens")
+
+
+def _plan(t: DataFrame, sized: DataFrame) -> DataFrame:
+    sizes = sized.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
     both = t.join(sizes, "source", "left").fillna(0, ["docs", "tokens"])
     total = F.sum("tokens").over(W.partitionBy(F.lit(0)))
     # one row per target source: a window over the targets, not over documents
@@ -120,8 +135,29 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", vocabu
     in two steps, over hash ranges and within them, so that no source is summed in one task.  The
     rules for nulls and names are those of ``mix_plan``.
     """
-    spark = docs.sparkSession
-    plan = mix_plan(docs, targets, vocabulary).collect()
+    t = wanted_shares(targets)
+    # texts are tokenized once: for the plan and for the layout
+    sized = cut(_sized(docs, t, key, vocabulary))
+    return _lay(sized, _plan(t, sized).collect(), max_blocks, seed)
+
+
+def mix_report(docs: DataFrame, targets: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY, max_blocks: int = 20_000, seed: int = 3) -> DataFrame:
+    """What the scheduled mix holds: one row per target source.
+
+    Columns: source, wanted (tokens), reached (tokens of the schedule), uses (greatest number of uses
+    of a document), share (of all tokens drawn), short (reached < wanted).  Rules as in ``mix_plan``.
+    """
+    t = wanted_shares(targets)
+    sized = cut(_sized(docs, t, key, vocabulary))
+    plan = cut(_plan(t, sized))
+    mix = _lay(sized, plan.collect(), max_blocks, seed).groupBy("source").agg(F.sum("tokens").alias("reached"), F.max("use").alias("uses"))
+    both = plan.select("source", "wanted").join(mix, "source", "left").fillna(0, ["reached", "uses"])
+    share = F.col("reached") / F.nullif(F.sum("reached").over(W.partitionBy(F.lit(0))), F.lit(0))
+    return both.select("source", "wanted", "reached", "uses", share.alias("share"), (F.col("reached") < F.col("wanted")).alias("short"))
+
+
+def _lay(sized: DataFrame, plan: list, max_blocks: int, seed: int) -> DataFrame:
+    spark = sized.sparkSession
     spark_plan = [r for r in plan if r["tokens"] and r["drawn"] > 0]
     drawn = sum(r["drawn"] for r in spark_plan)
     block = max(1.0, drawn / max(1, max_blocks - len(spark_plan)))
@@ -135,9 +171,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str = "doc_id", vocabu
         slots[s].append(i)
     held = spark.sparkContext.broadcast(({s: np.array(v) for s, v in slots.items()}, block))
     uses = spark.createDataFrame([(r["source"], int(r["repeats"]), float(r["drawn"])) for r in spark_plan], "source string, repeats int, drawn double")
-    # token counts are made once; uses are multiplied before the sums
-    listed = docs.select(F.col(key).cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text")
-    sized = token_counts(listed.join(F.broadcast(uses.select("source")), "source", "left_semi"), "text", vocabulary).filter("tokens > 0").select("source", "doc_id", "tokens")
+    # one row per target source that is drawn; the plan holds them already
+    sized = sized.filter("tokens > 0")
     laid = sized.join(F.broadcast(uses), "source").withColumn("use", F.explode(F.sequence(F.lit(1), "repeats"))).withColumn("h", F.xxhash64("doc_id", "use", F.lit(seed)))
     laid = cut(laid.withColumn("range", F.shiftright("h", 52)))
     sums = laid.groupBy("source", "use", "range").agg(F.sum("tokens").alias("t"))
