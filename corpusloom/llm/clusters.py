@@ -194,7 +194,6 @@ def similarity_clusters(
     margin: float = 0.15,
     cell_rows: int = 2048,
     block_rows: int = 6144,
-    max_cells: int = 8192,
     seed: int = 5,
 ) -> DataFrame:
     """(cluster_key, member, size, fit) for every record that belongs to a cluster.
@@ -224,7 +223,7 @@ def similarity_clusters(
     rows = usable(vectors, key, dims).groupBy("key").agg(F.max("vec").alias("vec"))
     points = cut(rows.mapInArrow(to_binary, "key bigint, vec binary"))
     total = points.count()
-    centres = kmeans(points, dims, min(max_cells, math.ceil(total / cell_rows)), seed=seed) if total else np.zeros((1, dims), np.float32)
+    centres = kmeans(points, dims, math.ceil(total / cell_rows), seed=seed) if total else np.zeros((1, dims), np.float32)
     centres = spark.sparkContext.broadcast(centres)
 
     def near(batches):
@@ -326,3 +325,37 @@ def typical_members(clusters: DataFrame, n: int = 3) -> DataFrame:
     whole = W.partitionBy("cluster_key").orderBy(*order)
     part = clusters.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(64))).withColumn("place", F.row_number().over(salted)).filter(F.col("place") <= n)
     return part.withColumn("place", F.row_number().over(whole)).filter(F.col("place") <= n).select("cluster_key", "size", "member", "fit", "place")
+
+
+def record_clusters(vectors: DataFrame, key: str = "key", dims: int = 64, count: int | None = None, cell_rows: int = 2048, typical: int = 3, seed: int = 5) -> DataFrame:
+    """(cluster, size, member, fit, place): every cluster with its ``typical`` members nearest the centroid.
+
+    A partition of all usable vectors (``hashed_features`` makes some for records that have none) into
+    ``count`` clusters, or about one per ``cell_rows`` records: k-means with oversampled parallel seeding
+    over all rows; each record belongs to the nearest centroid, of equally near ones to the lowest
+    number.  ``fit`` is the cosine to the centroid; of equal fits the smaller key goes first.  Rules for
+    unusable vectors and repeated rows as in ``similarity_clusters``.
+    """
+    def to_binary(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("key"), packed(matrix(b.column("vec"), dims))], names=["key", "vec"])
+
+    rows = usable(vectors, key, dims).groupBy("key").agg(F.max("vec").alias("vec"))
+    points = cut(rows.mapInArrow(to_binary, "key bigint, vec binary"))
+    total = points.count()
+    centres = kmeans(points, dims, count or math.ceil(total / cell_rows), seed=seed) if total else np.zeros((1, dims), np.float32)
+    held = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches):
+        for b in batches:
+            x = matrix(b.column("vec"), dims)
+            if not len(x):
+                continue
+            s = unit(x) @ held.value.T
+            near = s.argmax(1)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b.column("key"), pa.array(np.round(s[np.arange(len(x)), near].astype(float), 5))], names=["cluster_key", "member", "fit"])
+
+    placed = points.mapInArrow(assign, "cluster_key int, member bigint, fit double")
+    sizes = placed.groupBy("cluster_key").agg(F.count(F.lit(1)).alias("size"))
+    best = typical_members(placed.withColumn("size", F.lit(0)), typical).drop("size")
+    return best.join(sizes, "cluster_key").select(F.col("cluster_key").alias("cluster"), "size", "member", "fit", "place")

@@ -102,7 +102,7 @@ def _starts(per: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return row, base[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", width: int = 12, max_edits: int = 1, repeats: int = 5, bits: int = 8, block_words: int = 2_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", width: int = 12, max_edits: int = 1, repeats: int = 9, bits: int = 8, block_words: int = 2_000_000) -> DataFrame:
     """(doc, item, edits, windows): the items of which a document holds at least one window.
 
     A window is ``width`` consecutive words of an item; it is held if consecutive words of the

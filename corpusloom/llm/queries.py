@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import read
-from .clusters import similarity_clusters, typical_members
+from ..operators.text import token_docs
+from .clusters import hashed_features, record_clusters, similarity_clusters, typical_members
 from .frequency import marked_words, word_frequencies
 from .leaks import find_leaks
-from .mixture import mix_plan, mix_sources
+from .mixture import mix_report, mix_sources
 from .neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from .pairs import word_pairs
 from .residue import template_residue
@@ -70,6 +71,12 @@ def p6_typical(spark: SparkSession, sf: str) -> DataFrame:
     return typical_members(similarity_clusters(read(spark, sf, "doc_vectors"), "doc_id"))
 
 
+def p6_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of the documents' texts, which have no vectors: hashed weighted words, k-means, members nearest each centroid."""
+    docs = token_docs(read(spark, sf, "documents"))
+    return record_clusters(hashed_features(docs, "doc_id", "tokens"), "key", count=64)
+
+
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(read(spark, sf, "documents"), read(spark, sf, "eval_items")).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "edits", "windows")
 
@@ -79,7 +86,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return mix_plan(read(spark, sf, "documents"), read(spark, sf, "mix_targets")).filter("short").select("source")
+    return p8_report(spark, sf).filter("short").select("source")
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_report(read(spark, sf, "documents"), read(spark, sf, "mix_targets"))
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,4 +106,4 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_frequencies, p3_found, p4_found, p5_found, p5_pairs, p6_found, p6_typical, p7_found, p7_leaks, p8_found, p8_mix, p9_found, p9_residue)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_frequencies, p3_found, p4_found, p5_found, p5_pairs, p6_found, p6_typical, p6_records, p7_found, p7_leaks, p8_found, p8_mix, p8_report, p9_found, p9_residue)}

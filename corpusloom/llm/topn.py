@@ -12,7 +12,7 @@ from ..functions.session import cut
 from ..operators.rows import latest_rows
 
 
-def top_items(scores: DataFrame, groups: list[str], item: str, score: str, stamp: str | None = None, n: int = 10, hot_rows: int = 100_000, most_hot: int = 1000) -> DataFrame:
+def top_items(scores: DataFrame, groups: list[str], item: str, score: str, stamp: str | None = None, n: int = 10, hot_rows: int = 20_000, most_hot: int = 1000) -> DataFrame:
     """(groups, item, score, place): the ``n`` items of highest score of every group.
 
     ``place`` 1 is the highest; of equal scores the smaller item goes first.  With ``stamp`` the

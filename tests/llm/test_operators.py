@@ -341,3 +341,66 @@ def test_end_free_edit_distance():
     a = np.array([[1, 2, 3, 4]] * 5)
     b = np.array([[1, 2, 3, 4, 9], [1, 9, 2, 3, 4], [1, 2, 4, 9, 9], [1, 2, 9, 4, 9], [9, 8, 3, 4, 9]])
     assert leaks.edits_free(a, b, 1).tolist() == [0, 1, 1, 1, 2]
+
+
+def test_lookup_tables_that_are_joined_give_the_same(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [int(x) for x in rng.integers(0, 60, 25)] + [None, 777], T0) for i in range(40)]
+    rows += [(100 + i, rows[i][1][::-1], T0) for i in range(10)] + [(200, None, T0), (201, [], T0)]
+    args = corpus(spark, rows), vocab(spark, [(i, f"w{i % 50}") for i in range(60)])
+    for f in (lambda n: word_frequencies(*args, limit=n), lambda n: neardup.duplicate_pairs(*neardup.near_duplicates(*args, limit=n)), lambda n: pairs.word_pairs(*args, 5, None, limit=n).select("term_a", "term_b", "n_ab", "n_a", "n_b")):
+        sent, joined = ({tuple(r) for r in f(n).collect()} for n in (10**6, 0))
+        assert sent == joined and sent
+
+
+def test_copies_of_a_large_class_meet_in_blocks(spark):
+    members = spark.createDataFrame([(i, 0) for i in range(40)] + [(50, 50), (60, 60)], "doc_id bigint, class_id bigint")
+    links = spark.createDataFrame([(0, 50, 0.9)], "a bigint, b bigint, similarity double")
+    got = [tuple(r) for r in neardup.duplicate_pairs(links, members, block_rows=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(itertools.combinations(range(40), 2)) | {(i, 50) for i in range(40)}
+
+
+def test_surprise_selects_pairs_of_common_items(spark):
+    rng = np.random.default_rng(12)
+    # items 0 and 1 each in about a third of the baskets, mostly together: no NPMI bound would name them
+    rows = []
+    for i in range(600):
+        b = set(rng.integers(5, 40, 6).tolist()) | ({0, 1} if rng.random() < 0.2 else set()) | ({0} if rng.random() < 0.2 else set()) | ({1} if rng.random() < 0.2 else set())
+        rows += [(i, int(w)) for w in b]
+    df = spark.createDataFrame(rows, "basket bigint, item int")
+    top = {frozenset((r.item_a, r.item_b)) for r in pairs.item_pairs(df, 8, None, 0.01).collect()}
+    assert frozenset((0, 1)) in top and len(top) <= 3
+    assert frozenset((0, 1)) not in {frozenset((r.item_a, r.item_b)) for r in pairs.item_pairs(df, 8, 0.6).collect()}
+
+
+def test_record_clusters_name_what_is_nearest_the_centroid(spark):
+    from corpusloom.llm.clusters import record_clusters
+
+    x = planted(3, 20, 0, seed=2)
+    rows = record_clusters(table(spark, x), "doc_id", count=3).collect()
+    assert sum({r.cluster: r.size for r in rows}.values()) == len(x) and len(rows) == 9
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for c in range(3):
+        best = [r.member for r in sorted(rows, key=lambda r: r.place) if r.cluster == c]
+        assert (u[best[0]] @ u[best[1:]].T >= 0.7).all()
+    assert record_clusters(table(spark, x[:8]).limit(0), "doc_id").count() == 0
+
+
+def test_mix_report_equals_the_plan(spark):
+    from corpusloom.llm.mixture import mix_report
+
+    d = spark.createDataFrame([(i, "one two three four " * 5, "big") for i in range(60)] + [(100 + i, "one two three four " * 5, "small") for i in range(5)], "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("big", 0.5, 1), ("small", 0.4, 2), ("none", 0.1, 3)], "source string, target_share double, max_repeats int")
+    plan, report = ({r.source: r for r in f(d, t).collect()} for f in (mix_plan, mix_report))
+    assert {s: r.short for s, r in plan.items()} == {s: r.short for s, r in report.items()}
+    assert report["small"].reached == plan["small"].available and report["none"].reached == 0
+
+
+OTHER_RESIDUE = ["[First Name]", "[Company Name]", "Hi {{ user['name'] }},", "<?php echo $title; ?>", "Dear %(name)s,", "Page not found", "Page non trouvée", "Die Seite konnte nicht gefunden werden.", "Internal Server Error", "Sie müssen JavaScript aktivieren", "Vous devez activer JavaScript", "Maecenas sed diam eget risus varius"]
+
+
+def test_residue_of_other_spellings():
+    for t in OTHER_RESIDUE:
+        assert residue.find_residue(t), t
+    for t in ["Set ${HOME} before you run the job.", "We saw 404 not found errors in 3% of the crawl.", "He wrote “" + "a long passage " * 30 + "{{ name }} and more” there."]:
+        assert not residue.find_residue(t), t
