@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import cut, small
+
 EPSILON = 1e-12
 
 
@@ -15,11 +17,12 @@ def _starts(docs: DataFrame, words: DataFrame, window: int) -> tuple[DataFrame,
     """
     d = docs.filter(F.size("tokens") > 0)
     last = F.lit(0) if window == 0 else F.greatest(F.size("tokens") - window, F.lit(0))
-    pos = d.select("doc_id", last.alias("last"), F.posexplode("tokens").alias("pos", "term")).join(F.broadcast(words), "term")
+    pos = d.select("doc_id", last.alias("last"), F.posexplode("tokens").alias("pos", "term")).join(small(words)[0], "term")
     lo = F.lit(0) if window == 0 else F.greatest(F.col("pos") - (window - 1), F.lit(0))
     hi = F.least(F.col("pos"), F.col("last"))
     lo = F.least(lo, hi)
     seen = pos.select("doc_id", "term", F.explode(F.sequence(lo, hi)).alias("s")).distinct()
+    seen = cut(seen)
     return seen, d.agg(F.sum(last + 1).alias("windows"))
 
 
@@ -34,21 +37,24 @@ def cooccurrence(docs: DataFrame, topics: DataFrame, window: int = 0) -> tuple[D
     occ = seen.groupBy("term").agg(F.count(F.lit(1)).alias("occ"))
     x, y = topics.alias("x"), topics.alias("y")
     need = x.join(y, (F.col("x.topic") == F.col("y.topic")) & (F.col("x.term") < F.col("y.term"))).select(F.col("x.term").alias("a"), F.col("y.term").alias("b")).distinct()
-    left = seen.withColumnRenamed("term", "a").join(F.broadcast(need), "a")
+    left = seen.withColumnRenamed("term", "a").join(small(need)[0], "a")
     pairs = left.join(seen.withColumnRenamed("term", "b"), ["doc_id", "s", "b"])
     return occ, pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("co")), windows
 
 
 def coherence(docs: DataFrame, topics: DataFrame, kind: str = "u_mass", window: int | None = None) -> DataFrame:
-    """(topic, coherence): u_mass, c_uci or c_npmi of each topic's top words.
+    """(topic, coherence): c_v, u_mass, c_uci or c_npmi of each topic's top words.
 
-    u_mass is the mean over i > j of ln((co + 1) / occ_j), pairs with occ_j = 0 left out; the other
+    c_v (windows of 110) takes the NPMI of every two words of a topic, 1 on the diagonal, and is the mean
+    cosine of the rows of that matrix to the sum of its rows.  u_mass is the mean over i > j of ln((co + 1) / occ_j), pairs with occ_j = 0 left out; the other
     two are means over pairs with probabilities by window (default 10).  Topics of fewer than two
     known words get NULL under u_mass.
     """
-    if kind not in ("u_mass", "c_uci", "c_npmi"):
+    if kind not in ("u_mass", "c_uci", "c_npmi", "c_v"):
         raise ValueError(f"unknown coherence {kind!r}")
-    occ, co, windows = cooccurrence(docs, topics, 0 if kind == "u_mass" else (10 if window is None else window))
+    if window is None:
+        window = {"u_mass": 0, "c_v": 110}.get(kind, 10)
+    occ, co, windows = cooccurrence(docs, topics, 0 if kind == "u_mass" else window)
     x, y = topics.alias("x"), topics.alias("y")
     p = x.join(y, (F.col("x.topic") == F.col("y.topic")) & (F.col("x.place") > F.col("y.place"))).select(F.col("x.topic").alias("topic"), F.col("x.term").alias("wi"), F.col("y.term").alias("wj"))
     p = p.withColumn("a", F.least("wi", "wj")).withColumn("b", F.greatest("wi", "wj")).join(co, ["a", "b"], "left").fillna(0, ["co"])
@@ -63,4 +69,37 @@ def coherence(docs: DataFrame, topics: DataFrame, kind: str = "u_mass", window:
     else:
         q = F.when(pij <= 0, F.lit(EPSILON)).otherwise(pij)
         score = F.when(pij >= 1, F.lit(1.0)).otherwise(F.log(q / (F.greatest(pi, F.lit(EPSILON)) * F.greatest(pj, F.lit(EPSILON)))) / -F.log(q))
+    if kind == "c_v":
+        return _indirect(p.select("topic", "wi", "wj", score.alias("v")), topics)
     return p.groupBy("topic").agg(F.avg(score).alias("coherence"))
+
+
+def _indirect(pairs: DataFrame, topics: DataFrame) -> DataFrame:
+    """Mean cosine of the rows of a symmetric matrix (topic, wi, wj, v) with unit diagonal to the sum of its rows."""
+    whole = cut(
+        pairs.unionByName(pairs.select("topic", F.col("wj").alias("wi"), F.col("wi").alias("wj"), "v"))
+        .unionByName(topics.select("topic", F.col("term").alias("wi"), F.col("term").alias("wj"), F.lit(1.0).alias("v")))
+    )
+    total = whole.groupBy("topic", "wj").agg(F.sum("v").alias("s"))
+    size = total.groupBy("topic").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("size"), F.count(F.lit(1)).alias("n"))
+    rows = whole.join(total, ["topic", "wj"]).groupBy("topic", "wi").agg(F.sum(F.col("v") * F.col("s")).alias("d"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("r"))
+    x = rows.join(size, "topic")
+    cos = F.when((F.col("r") > 0) & (F.col("size") > 0), F.col("d") / (F.col("r") * F.col("size"))).otherwise(F.lit(0.0))
+    return x.groupBy("topic").agg(F.when(F.max("n") >= 2, F.avg(cos)).alias("coherence"))
+
+
+def pair_moments(bow: DataFrame) -> DataFrame:
+    """(a, b, q): second moments of words, sum over documents of (c_a c_b - [a = b] c_a) / (n (n - 1)), over the documents used.
+
+    Documents of fewer than two tokens are left out.  ``bow`` (doc_id, term, cnt) should be pruned: every pair of
+    words that share a document gives a row, which is what the moments are.
+    """
+    size = bow.groupBy("doc_id").agg(F.sum("cnt").alias("n")).filter("n > 1")
+    x = bow.join(size, "doc_id")
+    used = F.broadcast(size.agg(F.count(F.lit(1)).cast("double").alias("used")))
+    a = x.select("doc_id", "n", F.col("term").alias("a"), F.col("cnt").alias("ca"))
+    b = x.select("doc_id", F.col("term").alias("b"), F.col("cnt").alias("cb"))
+    own = F.when(F.col("a") == F.col("b"), F.col("ca")).otherwise(F.lit(0))
+    part = (F.col("ca") * F.col("cb") - own) / (F.col("n") * (F.col("n") - 1)).cast("double")
+    q = a.join(b, "doc_id").groupBy("a", "b").agg(F.sum(part).alias("q")).crossJoin(used)
+    return q.select("a", "b", (F.col("q") / F.col("used")).alias("q"))

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import small
+
 # fixed value: the default token pattern
 TOKEN = r"\p{L}[\p{L}\-'’.·]*\p{L}"
 
 
+# fixed values: function words that carry no topic
+ENGLISH_STOPWORDS = frozenset(
+    "a about above after again against all also although an and any are as at be because been before being between both but by can could did do does doing down during each even few "
+    "for from further get had has have having he her here him his how however if in into is it its itself just many more most much must no not now of on once only or other our out over "
+    "own same she should since so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who will "
+    "with would you your".split()
+)
+
+
+def load_stoplist(spark: SparkSession, path: str) -> list[str]:
+    """Words of a file, one a line, without outer blanks; blank lines are left out."""
+    return sorted(r[0] for r in spark.read.text(path).select(F.trim("value").alias("w")).filter("w <> ''").distinct().collect())
+
+
 def tokenize(text: Column, lowercase: bool = True, pattern: str = TOKEN, min_length: int = 1, stopwords: list[str] | None = None) -> Column:
     """Array of the pattern's matches; lower case first, then short words and stop words go."""
     t = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
@@ -27,6 +44,16 @@ def token_docs(df: DataFrame, key: str = "doc_id", text: str = "text", **options
     return df.select(F.col(key).alias("doc_id"), tokenize(F.col(text), **options).alias("tokens"))
 
 
+def custom_tokens(df: DataFrame, tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, tokens) by a Python function from text to words, run on Arrow batches; null texts give no token."""
+
+    @F.pandas_udf("array<string>")
+    def run(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: list(tokenizer(t)) if isinstance(t, str) else [])
+
+    return df.select(F.col(key).alias("doc_id"), run(F.col(text)).alias("tokens"))
+
+
 def bag_of_words(docs: DataFrame) -> DataFrame:
     """(doc_id, term, cnt)."""
     return docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
@@ -45,7 +72,7 @@ def prune(bow: DataFrame, min_doc_freq: int = 1, max_doc_fraction: float = 1.0,
     v = vocabulary(bow)
     if rm_top:
         # a top-k report: the removed terms are the feature
-        v = v.join(F.broadcast(v.orderBy(F.col("tf").desc(), "term").limit(rm_top).select("term")), "term", "left_anti")
+        v = v.join(small(v.orderBy(F.col("tf").desc(), "term").limit(rm_top).select("term"))[0], "term", "left_anti")
     total = bow.agg(F.count_distinct("doc_id").alias("total"))
     kept = v.crossJoin(F.broadcast(total)).filter((F.col("df") >= min_doc_freq) & (F.col("df") <= F.ceil(F.col("total") * F.lit(max_doc_fraction))) & (F.col("tf") >= min_cf))
     return kept.select("term", "df", "tf")
@@ -145,10 +172,89 @@ def chunk_tokens(docs: DataFrame, max_words: int = 200, min_words: int = 50) ->
     return d.select("parent", "chunk", F.slice("tokens", F.col("chunk") * max_words + 1, size).alias("tokens"))
 
 
+# fixed value: a sentence ends at a run of . ! or ?; what is left at the end of the text is one too
+SENTENCE = r"[^.!?]+[.!?]+|\S.*$"
+
+
+def sentences(text: Column) -> Column:
+    """Array of the sentences of a text, without outer blanks; blank ones are left out."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
+    return F.filter(F.transform(found, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def _pack(sents: list[str], most: int, least: int) -> list[str]:
+    """Whole sentences packed greedily into chunks of at most ``most`` words; a longer sentence is cut into chunks of its own."""
+    chunks: list[list[str]] = []
+    room = 0
+    for words in (s.split() for s in sents):
+        if len(words) > most:
+            chunks += [words[i : i + most] for i in range(0, len(words), most)]
+            room = 0
+        elif chunks and len(words) <= room:
+            chunks[-1] = chunks[-1] + words
+            room -= len(words)
+        else:
+            chunks.append(words)
+            room = most - len(words)
+    if len(chunks) > 1 and len(chunks[-1]) < least:
+        tail = chunks.pop()
+        chunks[-1] = chunks[-1] + tail
+    return [" ".join(c) for c in chunks] or [""]
+
+
+def split_documents(df: DataFrame, key: str = "doc_id", text: str = "text", max_words: int = 200, min_words: int = 50, sentence_aware: bool = True) -> DataFrame:
+    """The rows of ``df`` once for each chunk of their text: other columns are copied, ``parent`` and ``chunk`` are added.
+
+    Sentences stay whole where they fit (else words are counted); a last chunk of fewer than
+    ``min_words`` words joins the one before.  An empty or null text gives one empty chunk.
+    """
+    if sentence_aware:
+
+        @F.pandas_udf("array<string>")
+        def run(part: pd.Series) -> pd.Series:
+            return part.map(lambda s: _pack(list(s), max_words, min_words))
+
+        pieces = run(sentences(F.col(text)))
+    else:
+
+        @F.pandas_udf("array<string>")
+        def run(part: pd.Series) -> pd.Series:
+            def cut(t):
+                w = t.split()
+                out = [w[i : i + max_words] for i in range(0, len(w), max_words)] or [[]]
+                if len(out) > 1 and len(out[-1]) < min_words:
+                    out[-2:] = [out[-2] + out[-1]]
+                return [" ".join(c) for c in out]
+
+            return part.map(cut)
+
+        pieces = run(F.coalesce(F.col(text), F.lit("")))
+    rest = [c for c in df.columns if c not in (text, "parent", "chunk")]
+    return df.withColumn("_pieces", pieces).select(*rest, F.col(key).alias("parent"), F.posexplode("_pieces").alias("chunk", text))
+
+
+def align_corpus(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``docs`` without the tokens that ``vocab`` (term) lacks; documents may become empty and stay."""
+    side, _ = small(vocab.select("term").distinct())
+    pos = docs.select("doc_id", F.posexplode("tokens").alias("pos", "term")).join(side, "term")
+    new = pos.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("tokens"))
+    return docs.drop("tokens").join(new, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
+def export_phrases(phrases: DataFrame, delimiter: str = "_") -> DataFrame:
+    """(phrase, score) in descending order of score, ties by phrase."""
+    return phrases.select(F.concat_ws(delimiter, "a", "b").alias("phrase"), "score").orderBy(F.col("score").desc(), "phrase")
+
+
+def idf(vocab: DataFrame, total: int) -> DataFrame:
+    """(term, idf): ln(D / df)."""
+    return vocab.select("term", F.log(F.lit(float(total)) / F.col("df")).alias("idf"))
+
+
 def suggest_stopwords(bow: DataFrame, max_fraction: float = 0.5, max_length: int = 3, rare: int = 1) -> DataFrame:
     """(reason, term, df): too common, short, numeric, hardly alphabetic, rare."""
     v = vocabulary(bow).crossJoin(F.broadcast(bow.agg(F.count_distinct("doc_id").alias("total"))))
-    numeric = F.col("term").rlike(r"^[0-9]+([.,][0-9]+)*$")
+    numeric = F.col("term").rlike(r"^[0-9]+$")
     letters = F.length(F.regexp_replace("term", r"[^\p{L}]", ""))
     rules = {
         "common": F.col("df") > F.ceil(F.col("total") * F.lit(max_fraction)),

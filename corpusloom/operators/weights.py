@@ -64,3 +64,18 @@ def token_weights(vocab: DataFrame, scheme: str = "information") -> DataFrame:
     x = vocab.crossJoin(F.broadcast(vocab.agg(F.sum("tf").cast("double").alias("total"))))
     forms = {"none": F.lit(1.0), "information": -F.log(2.0, F.col("tf") / F.col("total")), "inverse": F.col("total") / F.col("tf")}
     return x.select("term", forms[scheme].alias("weight"))
+
+
+def idf_weights(counts: DataFrame) -> DataFrame:
+    """(term, idf): ln(1 + A / f) of class counts (class, term, tf); the plain form, whatever the class weights use."""
+    a = F.broadcast(counts.agg((F.sum("tf") / F.count_distinct("class")).alias("a")))
+    return counts.groupBy("term").agg(F.sum("tf").alias("f")).crossJoin(a).select("term", F.log(1 + F.col("a") / F.col("f")).alias("idf"))
+
+
+def top_fighting_words(contrast: DataFrame, n: int = 20) -> DataFrame:
+    """(side, place, term, z): the n words of greatest z for side a and of smallest z for side b, ties by term."""
+    ends = {"a": F.col("z").desc(), "b": F.col("z").asc()}
+    # top-k reports: the n rows of each end, then their places
+    few = [contrast.orderBy(o, "term").limit(n).select(F.lit(side).alias("side"), "term", "z", (F.when(F.lit(side) == "a", -F.col("z")).otherwise(F.col("z"))).alias("_o")) for side, o in ends.items()]
+    w = W.partitionBy("side").orderBy("_o", "term")
+    return few[0].unionByName(few[1]).withColumn("place", F.row_number().over(w)).select("side", "place", "term", "z")
