@@ -6,11 +6,20 @@ import math
 
 import numpy as np
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
-
 
 def lgamma(x) -> np.ndarray:
-    return _lgamma(np.asarray(x, float)).astype(float)
+    """ln Gamma for x > 0: the recurrence up to 9, then Stirling's series."""
+    x = np.array(x, float)
+    prod = np.ones_like(x)
+    for _ in range(9):
+        low = x < 9
+        if not low.any():
+            break
+        prod = np.where(low, prod * np.where(low, x, 1), prod)
+        x = np.where(low, x + 1, x)
+    r = 1 / (x * x)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - np.log(prod)
 
 
 def digamma(x) -> np.ndarray:

@@ -20,7 +20,10 @@ class Encoded:
         bow = bag_of_words(docs)
         self.spark: SparkSession = docs.sparkSession
         # the vocabulary of a topic model is K x V on every task anyway; its size is checked in fit
-        self.terms = [r.term for r in prune(bow, min_doc_freq, max_doc_fraction).select("term").orderBy("term").collect()]
+        kept = cut(prune(bow, min_doc_freq, max_doc_fraction).select("term"))
+        if kept.count() > MOST_CELLS:
+            raise ValueError(f"more than {MOST_CELLS} words; prune the vocabulary")
+        self.terms = [r.term for r in kept.orderBy("term").collect()]
         ids = self.spark.createDataFrame(list(enumerate(self.terms)) or [(0, "")], "w int, term string")
         bag = bow.join(ids, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("w", F.col("cnt").cast("int").alias("n")))).alias("bag"))
         parts = parts or self.spark.sparkContext.defaultParallelism
@@ -44,10 +47,77 @@ class Encoded:
 
 def phi_frame(spark: SparkSession, phi: np.ndarray, terms: list[str]) -> DataFrame:
     """(topic, term, prob)."""
-    rows = [(k, terms[w], float(p)) for k, row in enumerate(phi) for w, p in enumerate(row)]
-    return spark.createDataFrame(rows, "topic int, term string, prob double")
+    import pyarrow as pa
+
+    k, v = phi.shape
+    # columns go over as Arrow, cell by cell of K x V, which Encoded.check bounds
+    words = pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(v, dtype=np.int32), k)), pa.array(list(terms)[:v], pa.string())).dictionary_decode() if v else pa.array([], pa.string())
+    return spark.createDataFrame(pa.table({"topic": pa.array(np.repeat(np.arange(k, dtype=np.int32), v)), "term": words, "prob": pa.array(np.ascontiguousarray(phi, float).ravel())}))
 
 
 def top_words(phi: np.ndarray, terms: list[str], n: int = 10) -> list[list[tuple[str, float]]]:
     """The n most probable words of every topic; of equal ones the earlier word."""
     return [[(terms[w], float(row[w])) for w in np.lexsort((np.arange(len(row)), -row))[:n]] for row in phi]
+
+
+class TopicModel:
+    """What every fitted model offers: topics, top words, names, shares of other documents, saving."""
+
+    family = "none"
+    topic_names: list[str] | None = None
+    converged: bool | None = None
+
+    def _encoded(self, enc: Encoded) -> None:
+        self.vocabulary, self.spark = enc.terms, enc.spark
+
+    def phi(self) -> DataFrame:
+        """(topic, term, prob)."""
+        return phi_frame(self.spark, self.topic_word, self.vocabulary)
+
+    def top_words(self, n: int = 10, topic: int | None = None):
+        t = top_words(self.topic_word, self.vocabulary, n)
+        return t if topic is None else t[topic]
+
+    def set_topic_names(self, names: list[str]) -> None:
+        if len(names) != len(self.topic_word):
+            raise ValueError("one name a topic")
+        self.topic_names = list(names)
+
+    def transform(self, docs: DataFrame, iters: int = 30) -> DataFrame:
+        """(doc_id, topic, p) of other documents with the fitted topics."""
+        from .dirichlet import fixed_topics
+
+        k = len(self.topic_word)
+        a = getattr(self, "alpha", None)
+        return fixed_topics(docs, self.topic_word, self.vocabulary, a if a is not None and np.shape(a) == (k,) else np.full(k, 0.1), iters)
+
+    def save(self, path: str) -> None:
+        """Arrays and settings as Parquet rows (name, kind, value), beside the class in ``metadata``; documents' state is left out."""
+        import json
+        import pickle
+
+        keep = {k: v for k, v in vars(self).items() if k not in ("spark",) and not isinstance(v, DataFrame)}
+        rows = [(k, bytearray(pickle.dumps(v))) for k, v in sorted(keep.items())]
+        self.spark.createDataFrame(rows, "name string, value binary").write.mode("overwrite").parquet(f"{path}/state")
+        self.spark.createDataFrame([(json.dumps({"class": type(self).__name__, "version": 1}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+        if hasattr(self, "_state"):
+            self.doc_topic().write.mode("overwrite").parquet(f"{path}/doc_topic")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str):
+        import json
+        import pickle
+
+        meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+        if meta["class"] != cls.__name__:
+            raise ValueError(f"{path} holds a {meta['class']}, not a {cls.__name__}")
+        m = cls.__new__(cls)
+        for r in spark.read.parquet(f"{path}/state").collect():
+            setattr(m, r["name"], pickle.loads(bytes(r["value"])))
+        m.spark = spark
+        try:
+            theta = spark.read.parquet(f"{path}/doc_topic")
+            m.doc_topic = lambda: theta
+        except Exception:  # noqa: BLE001  a model without documents' shares
+            pass
+        return m

@@ -57,6 +57,40 @@ def _summed_terms(state: DataFrame, k: int):
     return terms
 
 
+def fixed_topics(docs: DataFrame, topic_word: np.ndarray, vocabulary: list[str], alpha: np.ndarray, iters: int = 30) -> DataFrame:
+    """(doc_id, topic, p) of documents under given topics: expected shares, iterated; unknown words are dropped.
+
+    A document without a known word gets the prior.
+    """
+    from pyspark.sql import functions as F
+
+    spark, k = docs.sparkSession, len(topic_word)
+    held = spark.sparkContext.broadcast((topic_word, {t: i for i, t in enumerate(vocabulary)}, alpha))
+
+    def infer(batches):
+        phi, at, alpha = held.value
+        for b in batches:
+            words = b.column("tokens")
+            flat = words.flatten().to_pylist()
+            per = np.diff(words.offsets.to_numpy())
+            code = np.array([at.get(t, -1) for t in flat], np.int64)
+            doc = np.repeat(np.arange(len(per)), per)[code >= 0]
+            key, n = np.unique((doc << 32) | code[code >= 0], return_counts=True)
+            doc, w = key >> 32, key & 0xFFFFFFFF
+            like = phi[:, w].T
+            held_n = np.bincount(doc, n, len(per))
+            size = np.repeat(held_n[:, None] / k, k, 1)
+            for _ in range(iters):
+                g = like * (size[doc] + alpha)
+                g *= (n / np.maximum(g.sum(1), 1e-300))[:, None]
+                size = np.zeros((len(per), k))
+                np.add.at(size, doc, g)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(size), pa.list_(pa.float64()))], names=["doc_id", "size"])
+
+    sizes = docs.select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).mapInArrow(infer, f"doc_id {dict(docs.dtypes)['doc_id']}, size array<double>")
+    return LDA._long(sizes, alpha)
+
+
 class LDA:
     """Latent Dirichlet allocation.
 
@@ -253,30 +287,7 @@ class LDA:
 
         A document without a known word gets the prior.
         """
-        from pyspark.sql import functions as F
-
-        spark, k = docs.sparkSession, self.num_topics
-        held = spark.sparkContext.broadcast((self.topic_word, {t: i for i, t in enumerate(self.vocabulary)}, self.alpha))
-
-        def infer(batches):
-            phi, at, alpha = held.value
-            for b in batches:
-                ids, out = b.column("doc_id"), []
-                for tokens in b.column("tokens").to_pylist():
-                    w = np.array([at[t] for t in tokens or [] if t in at], int)
-                    u, n = np.unique(w, return_counts=True)
-                    size = np.zeros(k)
-                    if len(u):
-                        p = phi[:, u].T
-                        size = np.full(k, len(w) / k)
-                        for _ in range(iters):
-                            g = p * (size + alpha)
-                            size = (g / g.sum(1, keepdims=True) * n[:, None]).sum(0)
-                    out.append(size)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "size"])
-
-        sizes = docs.select("doc_id", F.col("tokens")).mapInArrow(infer, f"doc_id {dict(docs.dtypes)['doc_id']}, size array<double>")
-        return self._long(sizes, self.alpha)
+        return fixed_topics(docs, self.topic_word, self.vocabulary, self.alpha, iters)
 
     def perplexity(self, docs: DataFrame) -> float:
         """Document completion: even token positions give theta, odd ones are scored; unknown words dropped."""
