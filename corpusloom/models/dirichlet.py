@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.num import digamma, lgamma, minka_steps, prior_terms
 from ..functions.session import cut, drop
-from .base import Encoded, phi_frame, top_words
+from .base import Encoded, TopicModel
 
 
 def _bags(batch):
@@ -91,23 +91,25 @@ def fixed_topics(docs: DataFrame, topic_word: np.ndarray, vocabulary: list[str],
     return LDA._long(sizes, alpha)
 
 
-class LDA:
+class LDA(TopicModel):
     """Latent Dirichlet allocation.
 
     ``sampler``: "cvb0" (deterministic, synchronous cell updates) or "gibbs" (collapsed Gibbs, private
-    tables per partition merged after ``merge_every`` sweeps).  ``seed_words`` {topic: [words]} adds
+    tables per partition merged after every sweep).  ``seed_words`` {topic: [words]} adds
     ``seed_weight`` to the prior of those words (guided topics).  ``labels`` (doc_id, topics
     ARRAY<INT>) in ``fit`` limits a document to its topics; an empty or missing set limits nothing.
     """
 
-    def __init__(self, num_topics: int, *, alpha_sum: float | None = None, beta: float = 0.01, sampler: str = "cvb0", seed: int = 42, optimize_interval: int = 0, merge_every: int = 1, seed_words: dict[int, list[str]] | None = None, seed_weight: float = 5.0):
+    family = "dirichlet"
+
+    def __init__(self, num_topics: int, *, alpha_sum: float | None = None, beta: float = 0.01, sampler: str = "cvb0", seed: int = 42, optimize_interval: int = 0, seed_words: dict[int, list[str]] | None = None, seed_weight: float = 5.0):
         if num_topics < 1:
             raise ValueError("num_topics must be positive")
         if sampler not in ("cvb0", "gibbs"):
             raise ValueError(f"unknown sampler {sampler!r}")
         self.num_topics, self.beta, self.sampler, self.seed = num_topics, beta, sampler, seed
         self.alpha = np.full(num_topics, (num_topics if alpha_sum is None else alpha_sum) / num_topics)
-        self.optimize_interval, self.merge_every = optimize_interval, merge_every
+        self.optimize_interval = optimize_interval
         self.seed_words, self.seed_weight = seed_words or {}, seed_weight
         self.history: list[tuple[int, float]] = []
         self.converged: bool | None = None
@@ -271,12 +273,6 @@ class LDA:
         total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x)
         return sizes.select("doc_id", F.posexplode(F.transform(p, lambda x: x / total)).alias("topic", "p"))
 
-    def phi(self) -> DataFrame:
-        return phi_frame(self.spark, self.topic_word, self.vocabulary)
-
-    def top_words(self, n: int = 10):
-        return top_words(self.topic_word, self.vocabulary, n)
-
     def log_likelihood(self) -> float:
         """Log joint of words given topics under the prior, from the count table."""
         a, b = self.counts + self.prior, self.prior
@@ -321,7 +317,7 @@ class LDA:
         return m
 
 
-class GSDMM:
+class GSDMM(TopicModel):
     """One topic per document (Movie Group Process) for short texts.
 
     Each sweep redraws every document's cluster from the counts without it; partitions work on the
@@ -393,5 +389,9 @@ class GSDMM:
         self.doc_cluster = state.select("doc_id", "z")
         return self
 
-    def top_words(self, n: int = 10):
-        return top_words(self.topic_word, self.vocabulary, n)
+    def doc_topic(self) -> DataFrame:
+        """(doc_id, topic, p): 1 for a document's cluster."""
+        from pyspark.sql import functions as F
+
+        topics = F.explode(F.array(*[F.lit(k) for k in range(self.num_topics)])).alias("topic")
+        return self.doc_cluster.select("doc_id", "z", topics).select("doc_id", "topic", (F.col("z") == F.col("topic")).cast("double").alias("p"))
