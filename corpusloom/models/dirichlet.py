@@ -13,11 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.num import digamma, lgamma, minka_steps, prior_terms
+from ..functions.num import digamma, lgamma, minka_beta, minka_steps, prior_terms
 from ..functions.session import cut, drop
 from .base import Encoded, TopicModel
 
 
+#: Samplers that draw from the same conditional.
+SAME_CONDITIONAL = ("gibbs", "sparse", "light", "warp")
+
+
 def _bags(batch):
     bag = batch.column("bag")
     flat = bag.flatten()
@@ -95,18 +99,22 @@ class LDA(TopicModel):
     """Latent Dirichlet allocation.
 
     ``sampler``: "cvb0" (deterministic, synchronous cell updates) or "gibbs" (collapsed Gibbs, private
-    tables per partition merged after every sweep).  ``seed_words`` {topic: [words]} adds
+    tables per partition merged after every sweep); "sparse", "light" and "warp" name ways to draw from the same
+    conditional and give that sampler.  ``init`` "spectral" starts from anchor words where they can be found.
+    With ``optimize_interval`` the document prior is fitted every so many sweeps, ``use_symmetric_alpha`` its
+    concentration only, ``optimize_beta`` the word prior too.  ``seed_words`` {topic: [words]} adds
     ``seed_weight`` to the prior of those words (guided topics).  ``labels`` (doc_id, topics
     ARRAY<INT>) in ``fit`` limits a document to its topics; an empty or missing set limits nothing.
     """
 
     family = "dirichlet"
 
-    def __init__(self, num_topics: int, *, alpha_sum: float | None = None, beta: float = 0.01, sampler: str = "cvb0", seed: int = 42, optimize_interval: int = 0, seed_words: dict[int, list[str]] | None = None, seed_weight: float = 5.0):
+    def __init__(self, num_topics: int, *, alpha_sum: float | None = None, beta: float = 0.01, sampler: str = "cvb0", seed: int = 42, optimize_interval: int = 0, use_symmetric_alpha: bool = False, optimize_beta: bool = False, init: str = "random", seed_words: dict[int, list[str]] | None = None, seed_weight: float = 5.0):
         if num_topics < 1:
             raise ValueError("num_topics must be positive")
-        if sampler not in ("cvb0", "gibbs"):
-            raise ValueError(f"unknown sampler {sampler!r}")
+        if sampler not in ("cvb0", *SAME_CONDITIONAL) or init not in ("random", "spectral"):
+            raise ValueError(f"unknown sampler {sampler!r} or start {init!r}")
+        self.use_symmetric_alpha, self.optimize_beta, self.init = use_symmetric_alpha, optimize_beta, init
         self.num_topics, self.beta, self.sampler, self.seed = num_topics, beta, sampler, seed
         self.alpha = np.full(num_topics, (num_topics if alpha_sum is None else alpha_sum) / num_topics)
         self.optimize_interval = optimize_interval
@@ -140,7 +148,12 @@ class LDA(TopicModel):
         if labels is not None:
             data = cut(data.join(labels.select("doc_id", "topics"), "doc_id", "left").repartition(enc.parts, "doc_id").sortWithinPartitions("doc_id"))
         limited = labels is not None
-        gibbs, seed, spark = self.sampler == "gibbs", self.seed, self.spark
+        gibbs, seed, spark = self.sampler in SAME_CONDITIONAL, self.seed, self.spark
+        start = None
+        if self.init == "spectral":
+            from .spectral import spectral_init
+
+            start = spectral_init(enc, k)
         state = data
         table, it, ends, taken, phi, checked = None, 0, iters, 0, 0.0, None
         self.converged = False if convergence_tol else None
@@ -167,10 +180,10 @@ class LDA(TopicModel):
                                 mask[i, t] = 1
                     if mine is None:
                         if gibbs:
-                            p = mask[doc] * prior[:, w].T
+                            p = mask[doc] * (prior if start is None else start)[:, w].T + 1e-12 * mask[doc]
                             g = rng.multinomial(n, p / p.sum(1, keepdims=True)).astype(float)
                         else:
-                            g = rng.random((len(w), k)) * mask[doc] * prior[:, w].T + 1e-9 * mask[doc]
+                            g = (rng.random((len(w), k)) * prior[:, w].T if start is None else start[:, w].T) * mask[doc] + 1e-9 * mask[doc]
                             g = g / g.sum(1, keepdims=True) * n[:, None]
                         new, old = g, np.zeros_like(g)
                     else:
@@ -244,7 +257,15 @@ class LDA(TopicModel):
                 if self.converged:
                     ends = it + 1
             if self.optimize_interval and it and it < ends and it % self.optimize_interval == 0:
-                self.alpha = minka_steps(_histogram_terms(state, k) if gibbs else _summed_terms(state, k), self.alpha)
+                terms = _histogram_terms(state, k) if gibbs else _summed_terms(state, k)
+                if self.use_symmetric_alpha:
+                    shared = lambda a, f=terms: (lambda t: np.r_[np.full(k, t[:-1].mean()), t[-1]])(f(a))
+                    self.alpha = minka_steps(shared, np.full(k, self.alpha.mean()))
+                else:
+                    self.alpha = minka_steps(terms, self.alpha)
+                if self.optimize_beta:
+                    self.beta = minka_beta(table, self.beta)
+                    prior = self._prior()
             if progress:
                 progress(it, moved)
             it += 1
@@ -278,6 +299,146 @@ class LDA(TopicModel):
         a, b = self.counts + self.prior, self.prior
         return float((lgamma(a) - lgamma(b)).sum() - (lgamma(a.sum(1)) - lgamma(b.sum(1))).sum())
 
+    def joint_log_likelihood(self) -> float:
+        """``log_likelihood`` and the log probability of the documents' topics under their prior, in one pass over the documents."""
+        from .engine import matrix_of, sums_over
+
+        k, alpha = self.num_topics, self.alpha
+
+        def part(b):
+            n = matrix_of(b.column("size"), k)
+            return np.array([(lgamma(alpha.sum()) - lgamma(alpha.sum() + n.sum(1)) + (lgamma(n + alpha) - lgamma(alpha)).sum(1)).sum()])
+
+        return self.log_likelihood() + float(sums_over(self._state, ["size"], part, 1)[0])
+
+    def evaluate(self, docs: DataFrame, num_particles: int = 10, seed: int = 42) -> dict:
+        """{log_likelihood, perplexity, num_tokens, num_oov} of held-out documents by the left-to-right estimator.
+
+        For each word in turn, ``num_particles`` histories of topics: those of the words before are redrawn, the word's
+        probability is averaged, its topic is drawn.  The cost of a document grows with the square of its length.
+        Unknown words are dropped and counted.
+        """
+        from pyspark.sql import functions as F
+
+        held = docs.sparkSession.sparkContext.broadcast((self.topic_word, {t: i for i, t in enumerate(self.vocabulary)}, self.alpha))
+
+        def run(batches):
+            phi, at, alpha = held.value
+            k, r = len(phi), num_particles
+            for b in batches:
+                ll, known, lost = [], [], []
+                for key, tokens in zip(b.column("doc_id").to_pylist(), b.column("tokens").to_pylist()):
+                    w = [at[t] for t in tokens or [] if t in at]
+                    rng, rows = np.random.default_rng([seed, zlib.crc32(str(key).encode())]), np.arange(r)
+                    z, n, total = np.zeros((r, len(w)), int), np.zeros((r, k)), 0.0
+                    for i, word in enumerate(w):
+                        for j in range(i):
+                            n[rows, z[:, j]] -= 1
+                            p = np.cumsum(phi[:, w[j]] * (n + alpha), 1)
+                            z[:, j] = np.minimum((p < rng.random((r, 1)) * p[:, -1:]).sum(1), k - 1)
+                            n[rows, z[:, j]] += 1
+                        q = phi[:, word] * (n + alpha)
+                        total += np.log(max((q.sum(1) / (i + alpha.sum())).mean(), 1e-300))
+                        p = np.cumsum(q, 1)
+                        z[:, i] = np.minimum((p < rng.random((r, 1)) * p[:, -1:]).sum(1), k - 1)
+                        n[rows, z[:, i]] += 1
+                    ll.append(total)
+                    known.append(len(w))
+                    lost.append(len(tokens or []) - len(w))
+                yield pa.RecordBatch.from_arrays([pa.array(ll, pa.float64()), pa.array(known, pa.int64()), pa.array(lost, pa.int64())], names=["ll", "n", "oov"])
+
+        r = docs.select("doc_id", "tokens").mapInArrow(run, "ll double, n bigint, oov bigint").agg(F.sum("ll"), F.sum("n"), F.sum("oov")).first()
+        n = r[1] or 0
+        return {"log_likelihood": r[0] or 0.0, "perplexity": float(np.exp(-r[0] / n)) if n else float("nan"), "num_tokens": n, "num_oov": r[2] or 0}
+
+    def diagnostics(self, docs: DataFrame, n: int = 10) -> DataFrame:
+        """(topic, tokens, coherence, exclusivity, effective_words, document_entropy, uniform_dist, corpus_dist, rank1_docs, alpha)."""
+        from pyspark.sql import functions as F
+
+        from ..operators import cooc
+        from ..operators import diagnostics as D
+        from ..operators.weights import top_terms
+
+        phi, p = self.phi(), self.topic_word
+        corpus = self.counts.sum(0) / max(self.counts.sum(), 1e-300)
+        kl = lambda q: (p * (np.log(np.maximum(p, 1e-300)) - np.log(np.maximum(q, 1e-300)))).sum(1)
+        rows = [(k, float(self.counts[k].sum()), float(1 / (p[k] ** 2).sum()), float(u), float(c), float(a)) for k, (u, c, a) in enumerate(zip(kl(np.full(p.shape[1], 1 / p.shape[1])), kl(corpus), self.alpha))]
+        own = self.spark.createDataFrame(rows, "topic int, tokens double, effective_words double, uniform_dist double, corpus_dist double, alpha double")
+        top = top_terms(phi, n, "topic", "prob").select("topic", "place", "term")
+        size = self._state.select(F.posexplode("size").alias("topic", "s"))
+        share = size.groupBy("topic").agg(F.sum("s").alias("all"), F.sum(F.when(F.col("s") > 0, F.col("s") * F.log("s")).otherwise(0.0)).alias("slogs"))
+        # entropy of a topic's tokens over documents: ln S - sum s ln s / S
+        entropy = share.select("topic", F.when(F.col("all") > 0, F.log("all") - F.col("slogs") / F.col("all")).alias("document_entropy"))
+        first = D.topic_sizes(self.doc_topic()).select("topic", F.col("docs").alias("rank1_docs"))
+        out = own.join(cooc.coherence(docs, top), "topic", "left").join(D.exclusivity(phi, n), "topic", "left").join(entropy, "topic", "left").join(first, "topic", "left")
+        return out.select("topic", "tokens", "coherence", "exclusivity", "effective_words", "document_entropy", "uniform_dist", "corpus_dist", "rank1_docs", "alpha")
+
+    def similar_documents(self, doc_id, n: int = 10) -> DataFrame:
+        from ..operators.selection import similar_documents
+
+        return similar_documents(self.doc_topic(), doc_id, n)
+
+    def assignments(self) -> DataFrame:
+        """(doc_id, pos, typeindex, term, topic): every token with its topic; tokens are in order of their words."""
+        k, words = self.num_topics, self.spark.sparkContext.broadcast(self.vocabulary)
+        key = dict(self._state.dtypes)["doc_id"]
+
+        def run(batches):
+            for b in batches:
+                per, w, n = _bags(b)
+                if not len(per):
+                    continue
+                g = np.frombuffer(b"".join(b.column("g").to_pylist()), np.float32).reshape(-1, k)
+                # whole tokens by largest remainders
+                whole = np.floor(g + 1e-6).astype(int)
+                order = np.argsort(-(g - whole), axis=1, kind="stable")
+                left = n - whole.sum(1)
+                np.put_along_axis(whole, order, np.take_along_axis(whole, order, 1) + (np.arange(k) < left[:, None]), 1)
+                cell, topic = np.nonzero(whole)
+                times = whole[cell, topic]
+                cell, topic = np.repeat(cell, times), np.repeat(topic, times)
+                doc = np.repeat(np.arange(len(per)), per)[cell]
+                pos = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(w[cell].astype(np.int32)), pa.array([words.value[i] for i in w[cell]], pa.string()), pa.array(topic.astype(np.int32))], names=["doc_id", "pos", "typeindex", "term", "topic"])
+
+        return self._state.mapInArrow(run, f"doc_id {key}, pos int, typeindex int, term string, topic int")
+
+    def save_state(self, path: str) -> None:
+        from ..sources.corpus import save_state
+
+        save_state(self.assignments(), list(self.alpha), self.beta, path)
+
+    @classmethod
+    def load_state(cls, spark, path: str) -> "LDA":
+        """A model from the token states of ``save_state``: topics, shares and priors as they were."""
+        from ..sources.corpus import load_state
+
+        tokens, alpha, beta = load_state(spark, path)
+        return cls.from_assignments(tokens, np.array(alpha), beta)
+
+    @classmethod
+    def from_assignments(cls, tokens: DataFrame, alpha: np.ndarray, beta: float = 0.01) -> "LDA":
+        """A model whose count tables come from explicit assignments (doc_id, typeindex, term, topic)."""
+        from pyspark.sql import functions as F
+
+        from ..sources.corpus import assignment_counts
+
+        spark, k = tokens.sparkSession, len(alpha)
+        m = cls(k, beta=beta, sampler="gibbs")
+        words, docs = assignment_counts(tokens)
+        names = tokens.select("typeindex", "term").distinct().orderBy("typeindex").collect()
+        m.spark, m.alpha, m.vocabulary = spark, np.asarray(alpha, float), [r["term"] for r in names]
+        at = {r["typeindex"]: i for i, r in enumerate(names)}
+        m.counts, m.prior = np.zeros((k, len(names))), np.full((k, len(names)), beta)
+        for r in words.collect():
+            m.counts[r["topic"], at[r["typeindex"]]] = r["n"]
+        p = m.counts + m.prior
+        m.topic_word = p / p.sum(1, keepdims=True)
+        size = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("s", i), F.lit(0).cast("bigint")).cast("double"))
+        m._state = cut(docs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("s")).select("doc_id", size.alias("size")))
+        m._wordless = m._state.select("doc_id").limit(0)
+        return m
+
     def transform(self, docs: DataFrame, iters: int = 30) -> DataFrame:
         """(doc_id, topic, p) of other documents with fixed topics; unknown words are dropped.
 
