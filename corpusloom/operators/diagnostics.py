@@ -23,8 +23,8 @@ def exclusivity(phi: DataFrame, n: int = 10) -> DataFrame:
 
 
 def frex(phi: DataFrame, w: float = 0.5) -> DataFrame:
-    """(topic, term, frex): harmonic mean of the ranks of frequency and exclusivity; ties by term."""
-    x = phi.withColumn("e", F.col("prob") / F.sum("prob").over(W.partitionBy("term")))
+    """(topic, term, frex): harmonic mean of the ranks of frequency and exclusivity; ties (to 12 decimals) by term."""
+    x = phi.withColumn("e", F.round(F.col("prob") / F.sum("prob").over(W.partitionBy("term")), 12))
     low = lambda v: F.row_number().over(W.partitionBy("topic").orderBy(F.col(v), F.col("term"))) / F.count(F.lit(1)).over(W.partitionBy("topic"))
     return x.withColumn("fr", low("prob")).withColumn("er", low("e")).select("topic", "term", (1 / (w / F.col("fr") + (1 - w) / F.col("er"))).alias("frex"))
 

@@ -6,17 +6,40 @@ topics are language classes, phi is the smoothed class-term distribution, theta
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import read
+from ..functions.session import cut, read
 from ..models.dirichlet import GSDMM, LDA
 from ..operators import cooc, diagnostics, text, vectors, weights
+from . import analysis
 
 R = 6
 KEYWORDS = [("model", "topic"), ("model", "topics"), ("model", "absent-word"), ("data", "documents"), ("data", "words"), ("data", "tokens")]
 
 
+#: What one query has written already: the bag of words and the stand-ins, so that texts are tokenized once.
+_memo: dict = {}
+
+
+def _once(name: str, sf: str, make):
+    if (name, sf) not in _memo:
+        _memo[name, sf] = cut(make())
+    return _memo[name, sf]
+
+
+def _fresh(query):
+    """The query with nothing kept from the one before."""
+
+    def run(s: SparkSession, sf: str) -> DataFrame:
+        _memo.clear()
+        return query(s, sf)
+
+    return run
+
+
 def _docs(s: SparkSession, sf: str) -> DataFrame:
     return text.token_docs(read(s, sf, "documents"))
 
@@ -30,14 +53,19 @@ def _class(s, sf, column="source"):
 
 
 def _kept(s, sf):
-    return text.prune(_bow(s, sf), min_doc_freq=2)
+    return _once("kept", sf, lambda: text.prune(_once("bow", sf, lambda: _bow(s, sf)), min_doc_freq=2))
 
 
 def _counts(s, sf, column="source"):
-    return weights.class_counts(_bow(s, sf).join(_kept(s, sf).select("term"), "term"), _class(s, sf, column))
+    kept = _kept(s, sf)
+    return _once(f"counts {column}", sf, lambda: weights.class_counts(_once("bow", sf, lambda: _bow(s, sf)).join(kept.select("term"), "term"), _class(s, sf, column)))
 
 
 def _phi(s, sf):
+    return _once("phi", sf, lambda: _smoothed(s, sf))
+
+
+def _smoothed(s, sf):
     """Smoothed class-term distribution over the kept vocabulary: (n + .01) / (N + .01 V)."""
     c = _counts(s, sf, "lang")
     v = _kept(s, sf).select("term")
@@ -50,10 +78,14 @@ def _phi(s, sf):
 
 
 def _theta(s, sf):
+    return _once("theta", sf, lambda: _shares(s, sf))
+
+
+def _shares(s, sf):
     """Mean over a document's known tokens of phi_kw / sum_k phi_kw."""
     phi = _phi(s, sf)
     share = phi.join(phi.groupBy("term").agg(F.sum("prob").alias("all")), "term").select("topic", "term", (F.col("prob") / F.col("all")).alias("r"))
-    x = _bow(s, sf).join(share, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("cnt") * F.col("r")).alias("m"), F.sum("cnt").alias("n"))
+    x = _once("bow", sf, lambda: _bow(s, sf)).join(share, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("cnt") * F.col("r")).alias("m"), F.sum("cnt").alias("n"))
     return x.select("doc_id", "topic", F.round(F.col("m") / F.col("n"), 9).alias("p"))
 
 
@@ -128,7 +160,8 @@ def queries() -> dict:
     for name, opts in CTFIDF.items():
         q[name] = lambda s, d, o=opts: _rounded(weights.ctfidf(_counts(s, d), **o), "weight")
     q["ctfidf_topk"] = lambda s, d: weights.top_terms(_rounded(weights.ctfidf(_counts(s, d)), "weight"))
-    return q
+    q |= analysis.queries(sys.modules[__name__])
+    return {name: _fresh(f) for name, f in q.items()}
 
 
 #: Sweeps until the convergence test of ``LDA.fit``, 1000 at most; Gibbs then averages 5 snapshots 25 sweeps apart.
@@ -185,6 +218,10 @@ cv AS (SELECT label, list(m ORDER BY i) AS c FROM cen GROUP BY label)
 
 
 def oracle_sql() -> dict[str, str]:
+    return oracle_sql_core() | analysis.oracle_sql(sys.modules[__name__])
+
+
+def oracle_sql_core() -> dict[str, str]:
     b, phi = _BASE, _PHI
     idf = {False: "ln(1 + a / f)", True: "ln(greatest(1.0, 1 + (a - f + 0.5) / (f + 0.5)))"}
     contrast = lambda prior: f"""WITH {_classed('lang')},
@@ -203,7 +240,7 @@ SELECT term, n_a, n_b, round((ln((n_a + p) / (t_a + t_p - n_a - p)) - ln((n_b +
         "doc_lengths": f"WITH {b} SELECT doc_id, CAST(len(tokens) AS INT) AS n FROM docs",
         "removal_curve": f"""WITH {b}, g(threshold) AS (VALUES (1), (2), (5), (20), (100)), m AS (SELECT doc_id, max(df) AS m FROM bow JOIN voc USING (term) GROUP BY doc_id)
 SELECT threshold, (SELECT count(*) FROM voc WHERE df < threshold) AS words_removed, (SELECT count(*) FROM m WHERE m < threshold) AS docs_removed FROM g""",
-        "stopword_suggest": rf"""WITH {b}, x AS (SELECT term, df, total, regexp_full_match(term, '[0-9]+([.,][0-9]+)*') AS num, length(regexp_replace(term, '[^\p{{L}}]', '', 'g')) AS l FROM voc, tot)
+        "stopword_suggest": rf"""WITH {b}, x AS (SELECT term, df, total, regexp_full_match(term, '[0-9]+') AS num, length(regexp_replace(term, '[^\p{{L}}]', '', 'g')) AS l FROM voc, tot)
 SELECT 'common' AS reason, term, df FROM x WHERE df > ceil(total * 0.2::DOUBLE) UNION ALL SELECT 'short', term, df FROM x WHERE length(term) < 3 AND NOT num
 UNION ALL SELECT 'numeric', term, df FROM x WHERE num UNION ALL SELECT 'nonalpha', term, df FROM x WHERE NOT num AND l * 2 < strlen(term) UNION ALL SELECT 'rare', term, df FROM x WHERE df <= 1""",
         "ngrams_bigram": f"WITH {b}, {bigram} SELECT a || '_' || b AS gram, count(*) AS n FROM bi GROUP BY 1",

@@ -21,7 +21,7 @@ def capabilities(model) -> dict[str, bool]:
 
 
 def term_barchart(phi: DataFrame, by: str = "prob", n: int = 10, marginal: DataFrame | None = None) -> DataFrame:
-    """(topic, place, term, value): top terms by prob, frex, lift, score or relevance."""
+    """(topic, place, term, value): top terms by prob, frex, lift, score or relevance, values to 9 decimals, ties by term."""
     forms = {
         "prob": lambda: phi.select("topic", "term", F.col("prob").alias("value")),
         "frex": lambda: diagnostics.frex(phi).withColumnRenamed("frex", "value"),
@@ -29,7 +29,7 @@ def term_barchart(phi: DataFrame, by: str = "prob", n: int = 10, marginal: DataF
         "score": lambda: diagnostics.label_scores(phi).select("topic", "term", F.col("score").alias("value")),
         "relevance": lambda: diagnostics.relevance(phi, marginal).withColumnRenamed("relevance", "value"),
     }
-    return top_terms(forms[by](), n, "topic", "value").select("topic", "place", "term", "value")
+    return top_terms(forms[by]().withColumn("value", F.round("value", 9)), n, "topic", "value").select("topic", "place", "term", "value")
 
 
 def seriate(gaps: np.ndarray) -> list[int]:
