@@ -173,6 +173,10 @@ class STM(TopicModel):
     def fit_history(self) -> list[tuple[int, float]]:
         return list(enumerate(self.bound_history))
 
+    def _wording(self, counts: np.ndarray) -> np.ndarray:
+        """Topics (K, V) from expected counts."""
+        return (counts + 1e-8) / (counts + 1e-8).sum(1, keepdims=True)
+
     def _start(self, enc: Encoded, given) -> np.ndarray:
         k, v = self.num_topics, len(enc.terms)
         if given is not None:
@@ -267,7 +271,7 @@ class STM(TopicModel):
                     ss, new, s, tail = m_step(got)
                     stat = (1 - rho) * stat + rho * ss * count / tail[1]
                     gamma, sigma = (1 - rho) * gamma + rho * new, (1 - rho) * sigma + rho * s
-                    beta = (stat + 1e-8) / (stat + 1e-8).sum(2, keepdims=True)
+                    beta = self._wording(stat[:, 0])[:, None] if content is None else (stat + 1e-8) / (stat + 1e-8).sum(2, keepdims=True)
                 self.bound_history.append(float(tail[0] * count / tail[1]))
             rounds.step(kernel, shared(), length)
         else:
@@ -281,7 +285,7 @@ class STM(TopicModel):
                         break
                 gamma, sigma = new, s
                 if content is None:
-                    beta = (ss + 1e-8) / (ss + 1e-8).sum(2, keepdims=True)
+                    beta = self._wording(ss[:, 0])[:, None]
                 else:
                     deviations = fit_deviations(ss, deviations, background, content_variance, 15)
                     beta = group_wording(background, *deviations)
