@@ -1,8 +1,8 @@
 """Dirichlet topic models: synchronous CVB0, distributed collapsed Gibbs, and the Movie Group Process.
 
 Every sweep is one Spark job: documents stay partitioned, the topic-word table is broadcast, each
-partition updates its documents in NumPy and sends one table of changes; the driver adds them in the
-order of the partitions.  Lineage is cut each sweep by writing the state to the shared folder.
+partition updates its documents in NumPy and sends its table of changes in slices, which are added in
+the cluster, so the driver receives one table.  Lineage is cut each sweep by writing the state to the shared folder.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from ..functions.num import digamma, lgamma, minka_beta, minka_steps, prior_terms
 from ..functions.session import cut, drop
 from .base import Encoded, TopicModel
+from .engine import slice_columns, sliced, summed
 
 
 #: Samplers that draw from the same conditional.
@@ -164,13 +165,14 @@ class LDA(TopicModel):
             def sweep(batches, it=it, held=held, snap=snap, taken=taken):
                 counts, prior, alpha = held.value
                 mine = None if counts is None else counts.copy()
-                delta, rng, change, cells, hist = np.zeros((k, v)), None, 0.0, 0, np.zeros((0, k))
+                delta, rng, change, cells, part = np.zeros((k, v)), None, 0.0, 0, 0
                 for b in batches:
                     per, w, n = _bags(b)
                     ids = b.column("doc_id")
                     if not len(ids):
                         continue
-                    rng = rng or np.random.default_rng([seed, it, zlib.crc32(str(ids[0].as_py()).encode())])
+                    part = part or zlib.crc32(str(ids[0].as_py()).encode())
+                    rng = rng or np.random.default_rng([seed, it, part])
                     doc = np.repeat(np.arange(len(per)), per)
                     mask = np.ones((len(per), k))
                     if limited:
@@ -221,28 +223,27 @@ class LDA(TopicModel):
                     ends = np.cumsum(per)
                     rows = new.astype(np.float32)
                     blobs = [rows[e - p : e].tobytes() for e, p in zip(ends, per)]
-                    cols = [ids, b.column("bag"), *([b.column("topics")] if limited else []), pa.array(blobs, pa.binary()), pa.array(list(size), pa.list_(pa.float64())), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.float64()), pa.nulls(len(ids), pa.int64())]
+                    cols = [ids, b.column("bag"), *([b.column("topics")] if limited else []), pa.array(blobs, pa.binary()), pa.array(list(size), pa.list_(pa.float64())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())]
                     kinds = [c.type for c in cols[:-3]]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
                 if cells:
-                    none = [pa.nulls(1, t) for t in kinds]
-                    yield pa.RecordBatch.from_arrays([*none, pa.array([delta.astype(np.float32).tobytes()], pa.binary()), pa.array([change]), pa.array([cells], pa.int64())], names=names)
+                    rows = list(sliced(np.r_[delta.ravel(), change, cells], part))
+                    none = [pa.nulls(len(rows), t) for t in kinds]
+                    yield pa.RecordBatch.from_arrays([*none, *slice_columns(rows)], names=names)
 
             key = dict(data.dtypes)["doc_id"]
-            names = ["doc_id", "bag", *(["topics"] if limited else []), "g", "size", "delta", "change", "cells"]
-            shape = f"doc_id {key}, bag array<struct<w:int,n:int>>, {'topics array<int>, ' if limited else ''}g binary, size array<double>, delta binary, change double, cells bigint"
+            names = ["doc_id", "bag", *(["topics"] if limited else []), "g", "size", "slice", "part", "sums"]
+            shape = f"doc_id {key}, bag array<struct<w:int,n:int>>, {'topics array<int>, ' if limited else ''}g binary, size array<double>, slice int, part bigint, sums binary"
             keep = [c for c in ("doc_id", "bag", "topics", "g", "size") if c in state.columns]
             out = cut(state.select(*keep).mapInArrow(sweep, shape))
-            # one row per partition: its table of changes; K x V cells each, checked by Encoded.check
-            parts_ = out.filter("delta is not null").select("delta", "change", "cells").collect()
-            table = np.zeros((k, v)) if table is None else table
-            for r in sorted(parts_, key=lambda r: (r["change"], r["cells"])):
-                table += np.frombuffer(r["delta"], np.float32).reshape(k, v)
+            got = summed(out.filter("slice is not null").select("slice", "part", "sums"), k * v + 2)
+            table = got[:-2].reshape(k, v) + (0.0 if table is None else table)
             table = np.maximum(table, 0.0)
             if it:
                 drop(last)
-            state, last = out.filter("delta is null").drop("delta", "change", "cells"), out
-            moved = sum(r["change"] for r in parts_) / max(1, 2 * sum(r["cells"] for r in parts_))
+            state, last = out.filter("slice is null").drop("slice", "part", "sums"), out
+            held.unpersist()
+            moved = got[-2] / max(1, 2 * got[-1])
             self.history.append((it, moved))
             if snap:
                 taken += 1
@@ -503,14 +504,15 @@ class GSDMM(TopicModel):
 
             def sweep(batches, it=it, held=held):
                 m, nkw = (a.copy() for a in held.value)
-                m0, n0, rng = m.copy(), nkw.copy(), None
+                m0, n0, rng, part = m.copy(), nkw.copy(), None, 0
                 nk = nkw.sum(1)
                 for b in batches:
                     per, w, n = _bags(b)
                     ids = b.column("doc_id")
                     if not len(ids):
                         continue
-                    rng = rng or np.random.default_rng([seed, it, zlib.crc32(str(ids[0].as_py()).encode())])
+                    part = part or zlib.crc32(str(ids[0].as_py()).encode())
+                    rng = rng or np.random.default_rng([seed, it, part])
                     old = b.column("z").to_numpy() if "z" in b.schema.names else np.full(len(ids), -1)
                     new, start = np.zeros(len(ids), np.int32), np.cumsum(per) - per
                     for i in range(len(ids)):
@@ -532,18 +534,18 @@ class GSDMM(TopicModel):
                         nkw[z, wi] += ni
                         nk[z] += ni.sum()
                     kinds = [ids.type, b.column("bag").type, pa.int32()]
-                    yield pa.RecordBatch.from_arrays([ids, b.column("bag"), pa.array(new), pa.nulls(len(ids), pa.binary())], names=["doc_id", "bag", "z", "delta"])
+                    yield pa.RecordBatch.from_arrays([ids, b.column("bag"), pa.array(new), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "bag", "z", "slice", "part", "sums"])
                 if rng is not None:
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds), pa.array([np.concatenate([(m - m0)[:, None], nkw - n0], 1).astype(np.float32).tobytes()], pa.binary())], names=["doc_id", "bag", "z", "delta"])
+                    rows = list(sliced(np.concatenate([(m - m0)[:, None], nkw - n0], 1).ravel(), part))
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in kinds), *slice_columns(rows)], names=["doc_id", "bag", "z", "slice", "part", "sums"])
 
-            out = cut(state.mapInArrow(sweep, f"doc_id {key}, bag array<struct<w:int,n:int>>, z int, delta binary"))
-            change = np.zeros((k, v + 1))
-            for r in out.filter("delta is not null").select("delta").collect():
-                change += np.frombuffer(r["delta"], np.float32).reshape(k, v + 1)
+            out = cut(state.mapInArrow(sweep, f"doc_id {key}, bag array<struct<w:int,n:int>>, z int, slice int, part bigint, sums binary"))
+            change = summed(out.filter("slice is not null").select("slice", "part", "sums"), k * (v + 1)).reshape(k, v + 1)
             m, nkw = m + change[:, 0], nkw + change[:, 1:]
             if it:
                 drop(last)
-            state, last = out.filter("delta is null").drop("delta"), out
+            state, last = out.filter("slice is null").drop("slice", "part", "sums"), out
+            held.unpersist()
             self.cluster_counts.append(int((m > 0.5).sum()))
         self.sizes = m
         self.topic_word = (nkw + beta) / (nkw.sum(1, keepdims=True) + beta * v)

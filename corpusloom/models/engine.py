@@ -70,11 +70,15 @@ def summed(rows: DataFrame, length: int) -> np.ndarray:
     return total
 
 
-def _sliced(total: np.ndarray, part: int):
+def sliced(total: np.ndarray, part: int):
     for lo in range(0, len(total), SLICE):
         yield lo // SLICE, part, total[lo : lo + SLICE].tobytes()
 
 
+def slice_columns(rows: list) -> list[pa.Array]:
+    return [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())]
+
+
 def sums_over(state: DataFrame, columns: list[str], kernel: Callable, length: int) -> np.ndarray:
     """Sum over all documents of ``kernel(batch)``, a vector a batch."""
 
@@ -84,8 +88,8 @@ def sums_over(state: DataFrame, columns: list[str], kernel: Callable, length: in
             if b.num_rows:
                 part = part or zlib.crc32(str(b.column(0)[0].as_py()).encode())
                 total += kernel(b)
-        rows = list(_sliced(total, part))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["slice", "part", "sums"])
+        rows = list(sliced(total, part))
+        yield pa.RecordBatch.from_arrays(slice_columns(rows), names=["slice", "part", "sums"])
 
     return summed(state.select(*columns).mapInArrow(run, "slice int, part bigint, sums binary"), length)
 
@@ -121,9 +125,9 @@ class Rounds:
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=[*columns, "slice", "part", "sums"])
             if types is not None:
-                rows = list(_sliced(total, part))
+                rows = list(sliced(total, part))
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=[*columns, "slice", "part", "sums"])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), *slice_columns(rows)], names=[*columns, "slice", "part", "sums"])
 
         shape = ", ".join(f"{c} {kinds.get(c, old.get(c))}" for c in columns)
         out = cut(self.state.mapInArrow(run, f"{shape}, slice int, part bigint, sums binary"))

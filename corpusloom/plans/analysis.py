@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.session import cut, read
 from ..models import gibbs
+from ..models.dynamic import DTM, STS
 from ..models.embedding import BERTopic, Top2Vec, cluster_points
-from ..models.logistic import STM
+from ..models.logistic import CTM, STM
+from ..models.neural import ETM, ETMVAE, FASTopic
 from ..models.supervised import PT, SupervisedLDA
 from ..operators import cooc, design, diagnostics, selection, text, vectors, weights
 from ..sources import corpus
@@ -99,6 +101,8 @@ def queries(c) -> dict:
 
     # fits: rows only, checked by planted structure in the tests
     emb = lambda s, d: c._emb(s, d).select("id", "vec")
+    usable = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("vec") == 64)
+    word_vectors = lambda s, d: read(s, d, "word_vectors").filter("vec is not null").filter(usable).select(F.lower(F.trim("term")).alias("term"), "vec")
     by_lang = lambda s, d: c._class(s, d, "lang")
     keys = {"models": ["model", "topic", "topics"], "data": ["documents", "words", "tokens"]}
     share = lambda m: m.doc_topic()
@@ -113,6 +117,13 @@ def queries(c) -> dict:
         "pt_doc_topic": lambda s, d: share(PT(6, num_pseudo=50).fit(docs(s, d), min_doc_freq=5)),
         "slda_predictions": lambda s, d: SupervisedLDA(6).fit(docs(s, d), covariates(s, d).select("doc_id", F.col("chars_k").alias("y")), min_doc_freq=5).predict(docs(s, d)),
         "stm_doc_topic": lambda s, d: share(STM(6).fit(docs(s, d), covariates(s, d).select("doc_id", "chars_k"), ["chars_k"], min_doc_freq=5)),
+        "ctm_correlation": lambda s, d: CTM(6).fit(docs(s, d), min_doc_freq=5).topic_correlation(),
+        "stm_content_topics": lambda s, d: STM(4).fit(docs(s, d), content=by_lang(s, d).withColumnRenamed("class", "group"), min_doc_freq=20, iters=20).phi(),
+        "dtm_evolution": lambda s, d: DTM(4, chain_variance=0.05).fit(docs(s, d), read(s, d, "documents").select("doc_id", F.date_format("created_at", "yyyy").alias("time")), min_doc_freq=10).word_evolution(),
+        "sts_sentiment": lambda s, d: STS(3).fit(docs(s, d), by_lang(s, d).select("doc_id", (F.col("class") == "en").cast("double").alias("s")), min_doc_freq=20, iters=10).sentiment(),
+        "etm_topics": lambda s, d: ETM(6).fit(docs(s, d), word_vectors(s, d), min_doc_freq=5).phi(),
+        "etm_vae_topics": lambda s, d: ETMVAE(6, hidden_size=64).fit(docs(s, d), word_vectors(s, d), min_doc_freq=5).phi(),
+        "fastopic_doc_topic": lambda s, d: share(FASTopic(6).fit(docs(s, d), emb(s, d).withColumnRenamed("id", "doc_id"), min_doc_freq=5)),
         "hdbscan_labels": lambda s, d: cluster_points(emb(s, d), "hdbscan", min_cluster_size=15),
         "kmeans_labels": lambda s, d: cluster_points(emb(s, d), "kmeans", 10),
         "top2vec_words": lambda s, d: Top2Vec(10).fit(docs(s, d), emb(s, d), 64).top_words(10),
