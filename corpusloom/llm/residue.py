@@ -157,7 +157,8 @@ def plain(text: str) -> str:
 
 def latin_runs(t: str, low: str, least: int = 6) -> list[tuple[int, int]]:
     """Passages of at least ``least`` words of Latin filler in a row."""
-    if sum(w in LATIN_WORDS for w in low.replace(".", " ").replace(",", " ").split()) < least:
+    words = low.replace(".", " ").replace(",", " ").split()
+    if LATIN_WORDS.isdisjoint(words) or sum(map(LATIN_WORDS.__contains__, words)) < least:
         return []
     runs, start, end, n = [], 0, 0, 0
     for m in WORD.finditer(t):
@@ -181,8 +182,6 @@ def find_residue(text: str) -> list[tuple[str, int, int]]:
     that paragraph touches, hits in code do not outnumber the ones outside three to one.
     """
     t = plain(text)
-    code = [m.span() for m in CODE.finditer(t)]
-    quotes = [m.span() for m in QUOTED.finditer(t)] if any(c in t for c in "\"“«„'") else []
     inside = lambda spans, a, b: any(x <= a and b <= y for x, y in spans)
     low = t.lower()
     found = [("filler", a, b) for a, b in latin_runs(t, low)]
@@ -190,9 +189,13 @@ def find_residue(text: str) -> list[tuple[str, int, int]]:
         for needles, p in patterns:
             if any(n in low for n in needles):
                 found += [(kind, *m.span()) for m in p.finditer(t)]
+    if not found:
+        return []
+    code = [m.span() for m in CODE.finditer(t)]
+    quotes = [m.span() for m in QUOTED.finditer(t)] if any(c in t for c in "\"“«„'") else []
     # a blank line inside a code block ends no paragraph
     breaks = [m.start() for m in BLANK.finditer(t) if not inside(code, m.start(), m.end())]
-    ends = [0, *(m.end() for m in SENTENCE.finditer(t))] if found else []
+    ends = [0, *(m.end() for m in SENTENCE.finditer(t))]
     hits, coded = [], Counter()
     for kind, a, b in found:
         while a < b and t[a].isspace():
