@@ -84,7 +84,7 @@ def queries(c) -> dict:
         "effect_ols_multi": lambda s, d: slopes(s, d, ["chars_k", "tokens_h"]),
         "effect_cluster": lambda s, d: slopes(s, d, ["chars_k"], cluster="source"),
         "effect_logit": lambda s, d: slopes(s, d, ["chars_k", "tokens_h"], link="logit"),
-        "coherence_cv": lambda s, d: r(cooc.coherence(docs(s, d), c._top(s, d), "c_v"), "coherence"),
+        "coherence_cv": lambda s, d: r(cooc.coherence(c._held(s, d), c._top(s, d), "c_v"), "coherence"),
         "spectral_moments": lambda s, d: cooc.pair_moments(bow(s, d).join(text.prune(bow(s, d), min_doc_freq=20, max_doc_fraction=0.3).select("term"), "term")).withColumn("q", F.round("q", 10)),
         "idf_plain": lambda s, d: r(text.idf(text.vocabulary(bow(s, d)), bow(s, d).select("doc_id").distinct().count()), "idf"),
         "idf_weights": lambda s, d: r(weights.idf_weights(c._counts(s, d)), "idf"),

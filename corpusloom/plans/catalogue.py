@@ -44,6 +44,11 @@ def _docs(s: SparkSession, sf: str) -> DataFrame:
     return text.token_docs(read(s, sf, "documents"))
 
 
+def _held(s, sf):
+    """``_docs``, written once for queries that read them several times."""
+    return _once("docs", sf, lambda: _docs(s, sf))
+
+
 def _bow(s, sf):
     return text.bag_of_words(_docs(s, sf))
 
@@ -53,12 +58,12 @@ def _class(s, sf, column="source"):
 
 
 def _kept(s, sf):
-    return _once("kept", sf, lambda: text.prune(_once("bow", sf, lambda: _bow(s, sf)), min_doc_freq=2))
+    return _once("kept", sf, lambda: text.prune(_once("bow", sf, lambda: text.bag_of_words(_held(s, sf))), min_doc_freq=2))
 
 
 def _counts(s, sf, column="source"):
     kept = _kept(s, sf)
-    return _once(f"counts {column}", sf, lambda: weights.class_counts(_once("bow", sf, lambda: _bow(s, sf)).join(kept.select("term"), "term"), _class(s, sf, column)))
+    return _once(f"counts {column}", sf, lambda: weights.class_counts(_once("bow", sf, lambda: text.bag_of_words(_held(s, sf))).join(kept.select("term"), "term"), _class(s, sf, column)))
 
 
 def _phi(s, sf):
@@ -85,7 +90,7 @@ def _shares(s, sf):
     """Mean over a document's known tokens of phi_kw / sum_k phi_kw."""
     phi = _phi(s, sf)
     share = phi.join(phi.groupBy("term").agg(F.sum("prob").alias("all")), "term").select("topic", "term", (F.col("prob") / F.col("all")).alias("r"))
-    x = _once("bow", sf, lambda: _bow(s, sf)).join(share, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("cnt") * F.col("r")).alias("m"), F.sum("cnt").alias("n"))
+    x = _once("bow", sf, lambda: text.bag_of_words(_held(s, sf))).join(share, "term").groupBy("doc_id", "topic").agg(F.sum(F.col("cnt") * F.col("r")).alias("m"), F.sum("cnt").alias("n"))
     return x.select("doc_id", "topic", F.round(F.col("m") / F.col("n"), 9).alias("p"))
 
 
@@ -129,11 +134,11 @@ def queries() -> dict:
         "keyword_refine": lambda s, d: weights.refine_keywords(text.vocabulary(_bow(s, d)), _keywords(s)),
         "token_weights_information": lambda s, d: _rounded(weights.token_weights(text.vocabulary(_bow(s, d))), "weight"),
         "token_weights_inverse": lambda s, d: _rounded(weights.token_weights(text.vocabulary(_bow(s, d)), "inverse"), "weight"),
-        "cooc_doc": lambda s, d: cooc.cooccurrence(_docs(s, d), _top(s, d), 0)[1],
-        "cooc_window10": lambda s, d: cooc.cooccurrence(_docs(s, d), _top(s, d), 10)[1],
-        "coherence_umass": lambda s, d: _rounded(cooc.coherence(_docs(s, d), _top(s, d)), "coherence"),
-        "coherence_uci": lambda s, d: _rounded(cooc.coherence(_docs(s, d), _top(s, d), "c_uci"), "coherence"),
-        "coherence_npmi": lambda s, d: _rounded(cooc.coherence(_docs(s, d), _top(s, d), "c_npmi"), "coherence"),
+        "cooc_doc": lambda s, d: cooc.cooccurrence(_held(s, d), _top(s, d), 0)[1],
+        "cooc_window10": lambda s, d: cooc.cooccurrence(_held(s, d), _top(s, d), 10)[1],
+        "coherence_umass": lambda s, d: _rounded(cooc.coherence(_held(s, d), _top(s, d)), "coherence"),
+        "coherence_uci": lambda s, d: _rounded(cooc.coherence(_held(s, d), _top(s, d), "c_uci"), "coherence"),
+        "coherence_npmi": lambda s, d: _rounded(cooc.coherence(_held(s, d), _top(s, d), "c_npmi"), "coherence"),
         "topic_diversity": lambda s, d: _rounded(diagnostics.topic_diversity(_top(s, d)), "diversity"),
         "exclusivity": lambda s, d: _rounded(diagnostics.exclusivity(_phi(s, d).withColumn("prob", F.round("prob", 12))), "exclusivity"),
         "label_scores": lambda s, d: _rounded(diagnostics.label_scores(_phi(s, d)), "lift", "score"),
