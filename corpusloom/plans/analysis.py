@@ -101,8 +101,10 @@ def queries(c) -> dict:
 
     # fits: rows only, checked by planted structure in the tests
     emb = lambda s, d: c._emb(s, d).select("id", "vec")
-    usable = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("vec") == 64)
-    word_vectors = lambda s, d: read(s, d, "word_vectors").filter("vec is not null").filter(usable).select(F.lower(F.trim("term")).alias("term"), "vec")
+    def word_vectors(s, d):
+        fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("vec") == 64)
+        return read(s, d, "word_vectors").filter("vec is not null").filter(fine).select(F.lower(F.trim("term")).alias("term"), "vec")
+
     by_lang = lambda s, d: c._class(s, d, "lang")
     keys = {"models": ["model", "topic", "topics"], "data": ["documents", "words", "tokens"]}
     share = lambda m: m.doc_topic()
