@@ -90,3 +90,20 @@ def test_embedding_lda_and_saving(spark, tmp_path):
         gibbs.PA.load(spark, str(tmp_path / "m"))
     k = gibbs.EmbeddingKeyATM({"a": ["b0w0"], "b": ["b1w0"]}, num_topics=3, seed=1).fit(d, words, vec, iters=10, parts=2)
     assert np.allclose(k.topic_word.sum(1), 1)
+
+
+def test_state_is_packed(spark):
+    from corpusloom.models.base import Encoded
+    from corpusloom.models.engine import token_counts
+
+    rows = [(1, ["a", "b", "a"]), (1, ["b", "c"]), (2, ["a", None, "c", "c", "c"]), (3, None), (4, ["rare"]), (None, ["a", "a"])]
+    enc = Encoded(spark.createDataFrame(rows, "doc_id bigint, tokens array<string>"), min_doc_freq=2, parts=2)
+    got = {r["doc_id"]: np.frombuffer(bytes(r["bag"]), np.int32).reshape(-1, 2).tolist() for r in enc.docs.collect()}
+    assert enc.terms == ["a", "c"] and got == {1: [[0, 2], [1, 1]], 2: [[0, 1], [1, 3]], None: [[0, 2]]}
+    assert {r["doc_id"] for r in enc.wordless().collect()} == {3, 4} and enc.frequencies().tolist() == [5, 4]
+    m = gibbs.HDP(max_topics=3, seed=1).fit(enc, iters=3)
+    for r in m._state.collect():
+        n = np.array([c for _, c in got[r["doc_id"]]])
+        z = np.frombuffer(bytes(r["g"]), np.uint8).astype(int)
+        assert len(z) == n.sum() and np.allclose(token_counts(z, n, 3).sum(0), r["size"])
+    assert np.isclose(m._counts.sum(), 9)
