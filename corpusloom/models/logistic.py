@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.num import lbfgs, make_dominant, softmax
 from ..functions.session import cut
 from .base import Encoded, TopicModel
-from .engine import Rounds, bags, listed, matrix_of, sums_over
+from .engine import Rounds, bags, by_doc, by_word, listed, matrix_of, sums_over
 from .spectral import spectral_init
 
 
@@ -42,34 +42,42 @@ def gradient(eta, like, n, doc, total, mu, precision):
 
 
 def _by_doc(rows, doc, count):
-    out = np.zeros((count, rows.shape[1]))
-    np.add.at(out, doc, rows)
-    return out
+    """Sums over the rows of each document, which stand together."""
+    return by_doc(rows, np.bincount(doc, minlength=count))
 
 
 def modes(eta, like, n, doc, mu, precision, steps: int = 60, tol: float = 1e-5):
-    """Modes of all documents at once."""
-    total = np.bincount(doc, n, len(eta))
-    value = objective(eta, like, n, doc, total, mu, precision)
+    """Modes of all documents at once; one that has reached its mode, or cannot rise further, is left out of later steps."""
+    eta, total = eta.copy(), np.bincount(doc, n, len(eta))
+    open_, moved = np.arange(len(eta)), np.ones(len(eta), bool)
     for _ in range(steps):
-        g, theta, _ = gradient(eta, like, n, doc, total, mu, precision)
-        if np.abs(g).max(initial=0) < tol * max(1.0, float(total.max(initial=1))):
+        g, theta, _ = gradient(eta[open_], like, n, doc, total[open_], mu[open_], precision)
+        far = moved & (np.abs(g).max(1, initial=0) >= tol)
+        if not far.any():
             break
-        t = theta[:, :-1]
-        h = total[:, None, None] * (t[:, :, None] * np.eye(t.shape[1]) - t[:, :, None] * t[:, None, :]) + precision
+        if not far.all():
+            g, theta, open_ = g[far], theta[far], open_[far]
+            cells = far[doc]
+            like, n, doc = like[cells], n[cells], (np.cumsum(far) - 1)[doc[cells]]
+        e, t, m, size_of = eta[open_], theta[:, :-1], mu[open_], total[open_]
+        h = size_of[:, None, None] * (t[:, :, None] * np.eye(t.shape[1]) - t[:, :, None] * t[:, None, :]) + precision
         step = -np.linalg.solve(h, g[:, :, None])[:, :, 0]
-        slope, size, moved = (g * step).sum(1), np.ones(len(eta)), np.zeros(len(eta), bool)
+        value = objective(e, like, n, doc, size_of, m, precision)
+        slope, size, moved = (g * step).sum(1), np.ones(len(e)), np.zeros(len(e), bool)
         for _ in range(20):
-            new = eta + size[:, None] * step
-            got = objective(new, like, n, doc, total, mu, precision)
-            ok = (got <= value + 1e-4 * size * slope) & ~moved
-            eta, value = np.where(ok[:, None], new, eta), np.where(ok, got, value)
-            moved |= ok
+            rest = np.nonzero(~moved)[0]
+            new = e[rest] + size[rest, None] * step[rest]
+            if len(rest) == len(e):
+                got = objective(new, like, n, doc, size_of, m, precision)
+            else:
+                cells = ~moved[doc]
+                got = objective(new, like[cells], n[cells], (np.cumsum(~moved) - 1)[doc[cells]], size_of[rest], m[rest], precision)
+            ok = got <= value[rest] + 1e-4 * size[rest] * slope[rest]
+            e[rest[ok]], moved[rest[ok]] = new[ok], True
             if moved.all():
                 break
-            size = np.where(moved, size, size / 2)
-        if not moved.any():
-            break
+            size[~moved] /= 2
+        eta[open_] = e
     return eta
 
 
@@ -81,22 +89,17 @@ def laplace(eta, like, n, doc, mu, precision, diagonal: bool = False):
     expected = _by_doc(phi, doc, count)
     h = total[:, None, None] * (theta[:, :, None] * np.eye(k) - theta[:, :, None] * theta[:, None, :])
     h -= expected[:, :, None] * np.eye(k)
-    start = np.searchsorted(doc, np.arange(count + 1))
-    for i in range(count):
-        p = phi[start[i] : start[i + 1]]
-        h[i] += (p / np.maximum(n[start[i] : start[i + 1], None], 1e-300)).T @ p
+    share = phi / np.maximum(n[:, None], 1e-300)
+    for i in range(k - 1):
+        h[:, i, : i + 1] += _by_doc(share[:, i, None] * phi[:, : i + 1], doc, count)
+        h[:, :i, i] = h[:, i, :i]
     h = h[:, :-1, :-1] + precision
     if diagonal:
         h = np.maximum(np.einsum("dii->di", h), 1e-6)[:, :, None] * np.eye(k - 1)
-    nu = np.empty_like(h)
-    half = np.empty(count)
-    for i in range(count):
-        try:
-            np.linalg.cholesky(h[i])
-        except np.linalg.LinAlgError:
-            h[i] = make_dominant(h[i]) + 1e-8 * np.eye(k - 1)
-        nu[i] = np.linalg.inv(h[i])
-        half[i] = -0.5 * np.linalg.slogdet(h[i])[1]
+    for i in np.nonzero(np.linalg.eigvalsh(h)[:, 0] <= 0)[0]:
+        h[i] = make_dominant(h[i]) + 1e-8 * np.eye(k - 1)
+    nu = np.linalg.inv(h)
+    half = -0.5 * np.linalg.slogdet(h)[1]
     bound = -objective(eta, like, n, doc, total, mu, precision) + half + 0.5 * np.linalg.slogdet(precision)[1]
     return nu, phi, bound
 
@@ -229,9 +232,7 @@ class STM(TopicModel):
             like, mu, n = beta[:, group[doc], w].T, x @ gamma, n.astype(float)
             eta = modes(mu.copy() if eta is None else eta, like, n, doc, mu, precision)
             nu, phi, bound = laplace(eta, like, n, doc, mu, precision, diagonal)
-            ss = np.zeros((g * v, k))
-            np.add.at(ss, group[doc] * v + w, phi)
-            return eta, np.concatenate([ss.T.reshape(k, g, v).ravel(), nu.sum(0).ravel(), (eta.T @ eta).ravel(), (x.T @ eta).ravel(), (x.T @ x).ravel(), [bound.sum(), len(per)]])
+            return eta, np.concatenate([by_word(group[doc] * v + w, phi, g * v).ravel(), nu.sum(0).ravel(), (eta.T @ eta).ravel(), (x.T @ eta).ravel(), (x.T @ x).ravel(), [bound.sum(), len(per)]])
 
         def kernel(b, sh, rng, sums):
             eta, s = e_step(b, sh, matrix_of(b.column("eta"), k - 1) if "eta" in b.schema.names else None)

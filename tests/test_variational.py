@@ -83,3 +83,24 @@ def test_svi_ctm_and_elastic_net(spark):
     y = x @ [1, 2, 0, 0, 0, 0] + 0.3 * rng.normal(size=200)
     b = L.elastic_net(x.T @ x, x.T @ y, y @ y, 200)
     assert abs(b[1] - 2) < 0.1 and np.abs(b[2:]).max() < 0.1
+
+
+def test_modes_leave_finished_documents(monkeypatch):
+    from corpusloom.models import logistic
+
+    rng = np.random.default_rng(4)
+    per = np.array([2, 5, 40, 3, 60, 1, 0])
+    doc, n = np.repeat(np.arange(7), per), rng.integers(1, 4, per.sum()).astype(float)
+    like, mu, precision = rng.dirichlet(np.full(4, 0.1), per.sum()) + 1e-6, rng.normal(size=(7, 3)), np.diag([0.5, 1.0, 2.0])
+    seen, plain = [], logistic.objective
+    monkeypatch.setattr(logistic, "objective", lambda eta, *a: seen.append(len(eta)) or plain(eta, *a))
+    eta = logistic.modes(mu.copy(), like, n, doc, mu, precision)
+    g = logistic.gradient(eta, like, n, doc, np.bincount(doc, n, 7), mu, precision)[0]
+    assert np.abs(g).max() < 1e-5 and np.allclose(eta[6], mu[6])
+    # a step costs what the documents cost that still move
+    assert min(seen) < 6 and seen[0] == 6
+    nu = logistic.laplace(eta, like, n, doc, mu, precision)[0]
+    for i in range(7):
+        at = doc == i
+        one = logistic.laplace(eta[i : i + 1], like[at], n[at], doc[at] * 0, mu[i : i + 1], precision)[0]
+        assert np.allclose(nu[i], one[0]) and np.linalg.eigvalsh(nu[i])[0] > 0
