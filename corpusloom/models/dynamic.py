@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.num import lbfgs, lgamma, logsumexp, make_dominant, softmax
 from ..functions.session import cut
 from .base import Encoded, TopicModel
-from .engine import Rounds, bags, listed, matrix_of, packed_cells, sums_over, unpacked_cells
+from .engine import Rounds, bags, by_doc, listed, matrix_of, packed_cells, sums_over, unpacked_cells
 from .supervised import response_step
 
 
@@ -133,35 +133,55 @@ class STS(TopicModel):
         data = enc.docs.join(seedcol, "doc_id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
         data = data if prevalence is None else data.join(prevalence, "doc_id", "left")
         x = F.array(F.lit(1.0), F.col("s"), *[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)) for f in features or []])
-        first = F.concat(F.array_repeat(F.lit(0.0), k - 1), F.array_repeat(F.col("s"), k))
-        data = cut(data.select("doc_id", "bag", x.alias("x"), group.alias("group"), first.alias("a")).repartition(enc.parts, "doc_id").sortWithinPartitions("doc_id"))
+        data = cut(data.select("doc_id", "bag", x.alias("x"), group.alias("group"), "s").repartition(enc.parts, "doc_id").sortWithinPartitions("doc_id"))
         beta = LDA(k, alpha_sum=1.0, seed=self.seed).fit(enc, iters=15).topic_word
         f = beta.mean(0) + 1e-10
         m = np.log(f / f.sum())
-        base, slope = np.log(np.maximum(beta, 1e-8)) - m, np.zeros((k, v))
+
+        def by_group(b):
+            per, w, n = bags(b)
+            at, s = b.column("group").to_numpy().astype(np.int64), b.column("s").to_numpy()
+            return np.r_[np.bincount(np.repeat(at, per) * v + w, n, g * v), np.bincount(at, s, g), np.bincount(at, minlength=g)]
+
+        # the first slopes: words shared out by beta alone, on the centred seed; at slopes of 0 the seed would have no hold
+        got = sums_over(data, ["bag", "group", "s"], by_group, g * v + 2 * g)
+        level, size = got[g * v : -g], got[-g:]
+        middle = float(level.sum() / max(size.sum(), 1))
+        counts = got[: g * v].reshape(g, 1, v) * (beta / np.maximum(beta.sum(0), 1e-12))
+        at = np.where(size > 0, level / np.maximum(size, 1) - middle, 0.0)
+        base, slope = poisson_lines(counts, counts.sum(2), np.repeat(at[:, None], k, 1), m, np.log(np.maximum(beta, 1e-8)) - m, np.zeros((k, v)), kappa_ridge)
+        first = F.concat(F.array_repeat(F.lit(0.0), k - 1), F.array_repeat(F.col("s") - F.lit(middle), k))
+        data = data.withColumn("a", first).drop("s")
         gamma, sigma = np.zeros((p, n_lat)), np.eye(n_lat) * 5.0
         cells = [g * k * v, g * k * 2, n_lat**2, n_lat**2, p * n_lat, p * p, 2]
         length = sum(cells)
         rounds = Rounds(data, {"a": "array<double>"}, self.seed)
 
         def kernel(b, sh, rng, sums):
-            m, base, slope, gamma, prec = (sh[c] for c in ("m", "base", "slope", "gamma", "prec"))
+            if "norm" not in sh:
+                sh["norm"] = Normalizers(sh["m"], sh["base"], sh["slope"])
+            gamma, prec = sh["gamma"], sh["prec"]
             per, w, n = bags(b)
-            ends = np.cumsum(per)
+            n, ends = n.astype(float), np.r_[0, np.cumsum(per)]
             xs, lat, groups = matrix_of(b.column("x"), p), matrix_of(b.column("a"), n_lat), b.column("group").to_numpy()
             parts_ = [s.reshape(q) for s, q in zip(np.split(sums, np.cumsum(cells)[:-1]), [(g, k, v), (g, k, 2), (n_lat, n_lat), (n_lat, n_lat), (p, n_lat), (p, p), (2,)])]
-            for i in range(len(per)):
-                c = slice(ends[i] - per[i], ends[i])
-                wi, ni, mu = w[c], n[c].astype(float), xs[i] @ gamma
-                a, nu, phi, bound = sentiment_step(lat[i], m, base, slope, wi, ni, mu, prec)
-                lat[i] = a
-                parts_[0][groups[i]][:, wi] += phi
-                parts_[1][groups[i]] += np.stack([phi.sum(1), phi.sum(1) * a[k - 1 :]], 1)
-                parts_[2] += nu
-                parts_[3] += np.outer(a, a)
-                parts_[4] += np.outer(xs[i], a)
-                parts_[5] += np.outer(xs[i], xs[i])
-                parts_[6] += [bound, 1]
+            every = []
+            for lo in range(0, len(per), 512):
+                d = slice(lo, min(lo + 512, len(per)))
+                c = slice(ends[d.start], ends[d.stop])
+                lat[d], nu, phi, bound = sentiment_modes(lat[d], sh["norm"], w[c], n[c], per[d], xs[d] @ gamma, prec)
+                every.append(phi)
+                size = by_doc(phi, per[d])
+                for i, of in enumerate((size, size * lat[d, k - 1 :])):
+                    np.add.at(parts_[1][:, :, i], groups[d], of)
+                parts_[2] += nu.sum(0)
+                parts_[6] += [bound.sum(), len(bound)]
+            place = np.repeat(groups.astype(np.int64), per) * v + w
+            for i, of in enumerate(np.concatenate(every).T):
+                parts_[0][:, i] += np.bincount(place, of, g * v).reshape(g, v)
+            parts_[3] += lat.T @ lat
+            parts_[4] += xs.T @ lat
+            parts_[5] += xs.T @ xs
             return {"a": listed(lat)}
 
         self.converged = None
@@ -217,18 +237,132 @@ def sentiment_value(a, m, base, slope, w, n, mu, prec):
     return -(n @ np.log(all_)) + 0.5 * d @ pd, g, phi
 
 
-def sentiment_step(a, m, base, slope, w, n, mu, prec, steps: int = 30):
-    """(mode, covariance, expected counts, bound) of one document; the curvature is taken from differences of the gradient."""
-    a = lbfgs(lambda z: sentiment_value(z, m, base, slope, w, n, mu, prec)[:2], a, steps)
-    value, g, phi = sentiment_value(a, m, base, slope, w, n, mu, prec)
-    h = np.empty((len(a), len(a)))
-    for i in range(len(a)):
-        e = np.zeros(len(a))
-        e[i] = 1e-4
-        h[i] = (sentiment_value(a + e, m, base, slope, w, n, mu, prec)[1] - sentiment_value(a - e, m, base, slope, w, n, mu, prec)[1]) / 2e-4
-    h = (h + h.T) / 2
-    if np.linalg.eigvalsh(h)[0] <= 1e-8:
-        h = make_dominant(h) + 1e-6 * np.eye(len(a))
+class Normalizers:
+    """ln sum_w exp(m_w + base_kw + slope_kw s) of every topic as a function of s, with its first two derivatives.
+
+    It is computed at nodes where it is asked for, and between two nodes it is the quintic that has the value and both
+    derivatives of either.  Nodes are a fifth of 1 / (range of the slopes) apart, so the value is right to about 1e-9;
+    beyond ``limit`` it is computed for every s.
+    """
+
+    BLOCK = 32
+
+    def __init__(self, m, base, slope, limit: float = 16.0):
+        self.logits, self.slope, self.limit = m + base, slope, limit
+        self.centre = (softmax(self.logits) * slope).sum(1)
+        self.step = 1 / max(8.0, 5 * float(np.ptp(slope, axis=1).max(initial=0)))
+        blocks = int(np.ceil(2 * limit / self.step / self.BLOCK)) + 1
+        self.table, self.filled = np.empty((len(base), blocks * self.BLOCK, 3)), np.zeros((len(base), blocks), bool)
+
+    def exact(self, k: int, s: np.ndarray) -> np.ndarray:
+        """(rows, 3) of topic ``k``."""
+        out, slope = np.empty((len(s), 3)), self.slope[k] - self.centre[k]
+        powers = np.stack([np.ones_like(slope), slope, slope * slope], 1)
+        for lo in range(0, len(s), 8):
+            x = self.logits[k] + self.slope[k] * s[lo : lo + 8, None]
+            top = x.max(1, keepdims=True)
+            x -= top
+            total, first, second = (np.exp(x, x) @ powers).T
+            mean = first / total
+            out[lo : lo + 8] = np.stack([top[:, 0] + np.log(total), self.centre[k] + mean, second / total - mean * mean], 1)
+        return out
+
+    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, first and second derivatives (rows, K) at ``s`` (rows, K)."""
+        h, out = self.step, np.empty((3, *s.shape))
+        for k in range(s.shape[1]):
+            inside = np.abs(s[:, k]) < self.limit
+            x = (np.where(inside, s[:, k], 0) + self.limit) / h
+            at = x.astype(np.int64)
+            need = np.zeros(self.filled.shape[1], bool)
+            need[at // self.BLOCK] = need[(at + 1) // self.BLOCK] = True
+            for i in np.nonzero(need & ~self.filled[k])[0]:
+                nodes = np.arange(i * self.BLOCK, (i + 1) * self.BLOCK)
+                self.table[k, nodes], self.filled[k, i] = self.exact(k, nodes * h - self.limit), True
+            t, (f, f1, f2), (g, g1, g2) = x - at, self.table[k, at].T, self.table[k, at + 1].T
+            b, c = h * f1, h * h * f2 / 2
+            d, e, q = g - f - b - c, h * g1 - b - 2 * c, h * h * g2 - 2 * c
+            c3, c4, c5 = 10 * d - 4 * e + q / 2, -15 * d + 7 * e - q, 6 * d - 3 * e + q / 2
+            out[0, :, k] = f + t * (b + t * (c + t * (c3 + t * (c4 + t * c5))))
+            out[1, :, k] = (b + t * (2 * c + t * (3 * c3 + t * (4 * c4 + t * 5 * c5)))) / h
+            out[2, :, k] = (2 * c + t * (6 * c3 + t * (12 * c4 + t * 20 * c5))) / (h * h)
+            if not inside.all():
+                out[:, ~inside, k] = self.exact(k, s[~inside, k]).T
+        return out[0], out[1], out[2]
+
+
+def _sentiment_mix(a, norm, w, n, per, mu, prec):
+    """(negative log posteriors (D,), theta, normalizers, topic x word (cells, K), their sums) of the documents."""
+    k = a.shape[1] // 2 + 1
+    theta, s = softmax(np.c_[a[:, : k - 1], np.zeros(len(a))]), a[:, k - 1 :]
+    z = norm(s)
+    mix = np.repeat(theta, per, 0) * np.exp(norm.logits.T[w] + norm.slope.T[w] * np.repeat(s, per, 0) - np.repeat(z[0], per, 0))
+    every = np.maximum(mix.sum(1), 1e-300)
+    d = a - mu
+    return 0.5 * np.einsum("di,ij,dj->d", d, prec, d) - by_doc(n * np.log(every), per), theta, z, mix, every
+
+
+def sentiment_curves(a, norm, w, n, per, mu, prec):
+    """(values (D,), gradients (D, L), curvatures (D, L, L), responsibilities x counts (cells, K)) of documents' latents."""
+    k = a.shape[1] // 2 + 1
+    value, theta, (_, mean, var), share, every = _sentiment_mix(a, norm, w, n, per, mu, prec)
+    share /= every[:, None]
+    phi = share * n[:, None]
+    pull = np.c_[np.ones((len(w), k - 1)), norm.slope.T[w] - np.repeat(mean, per, 0)]
+    topic = np.r_[np.arange(k - 1), np.arange(k)]
+    left, right = pull * share[:, topic], pull * phi[:, topic]
+    expected, total, got = by_doc(phi, per), by_doc(n, per), by_doc(right, per)
+    g = (a - mu) @ prec - got
+    g[:, : k - 1] += total[:, None] * theta[:, :-1]
+    h = np.empty((len(a), len(topic), len(topic)))
+    for i in range(len(topic)):
+        h[:, i, : i + 1] = by_doc(left[:, i, None] * right[:, : i + 1], per)
+        h[:, :i, i] = h[:, i, :i]
+    h += prec
+    e = theta[:, :-1]
+    h[:, : k - 1, : k - 1] += total[:, None, None] * (e[:, :, None] * np.eye(k - 1) - e[:, :, None] * e[:, None, :])
+    # what the second derivative of a topic's own logarithm adds
+    at = np.arange(len(topic))
+    h[:, at, at] -= np.c_[expected[:, :-1], by_doc(phi * pull[:, k - 1 :] ** 2, per) - expected * var]
+    for i in range(k - 1):
+        h[:, i, k - 1 + i] -= got[:, k - 1 + i]
+        h[:, k - 1 + i, i] -= got[:, k - 1 + i]
+    return value, g, h, phi
+
+
+def sentiment_modes(a, norm, w, n, per, mu, prec, steps: int = 60, tol: float = 1e-6):
+    """(modes (D, L), covariances (D, L, L), expected counts at the cells (cells, K), bounds (D,)) of all documents together.
+
+    Newton steps along curvatures made positive; a document at its mode, or that can fall no further, takes no more steps.
+    """
+    a, open_, ends = a.copy(), np.arange(len(a)), np.cumsum(per)
+    cells = lambda docs: np.repeat(ends[docs] - np.cumsum(per[docs]), per[docs]) + np.arange(per[docs].sum())
+    for _ in range(steps):
+        c = cells(open_)
+        value, g, h, _ = sentiment_curves(a[open_], norm, w[c], n[c], per[open_], mu[open_], prec)
+        far = np.abs(g).max(1, initial=0) >= tol
+        if not far.any():
+            break
+        open_, value, g = open_[far], value[far], g[far]
+        size, turn = np.linalg.eigh(h[far])
+        size = np.maximum(np.abs(size), 1e-6)
+        step = -np.einsum("dij,dj->di", turn, np.einsum("dji,dj->di", turn, g) / size)
+        slope, t, rest = (g * step).sum(1), 1.0, np.arange(len(open_))
+        for _ in range(30):
+            docs = open_[rest]
+            new, c = a[docs] + t * step[rest], cells(docs)
+            # a step at the limit of what the value can show still counts
+            ok = _sentiment_mix(new, norm, w[c], n[c], per[docs], mu[docs], prec)[0] <= value[rest] + 1e-4 * t * slope[rest] + 1e-12 * np.abs(value[rest])
+            a[docs[ok]] = new[ok]
+            rest, t = rest[~ok], t / 2
+            if not len(rest):
+                break
+        open_ = np.delete(open_, rest)
+        if not len(open_):
+            break
+    value, _, h, phi = sentiment_curves(a, norm, w, n, per, mu, prec)
+    for i in np.nonzero(np.linalg.eigvalsh(h)[:, 0] <= 1e-8)[0]:
+        h[i] = make_dominant(h[i]) + 1e-6 * np.eye(a.shape[1])
     return a, np.linalg.inv(h), phi, -value - 0.5 * np.linalg.slogdet(h)[1] + 0.5 * np.linalg.slogdet(prec)[1]
 
 
