@@ -4,35 +4,71 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import digamma, lgamma
 from ..functions.session import cut
 from .base import Encoded, TopicModel
-from .engine import Rounds, bags, listed, matrix_of, packed_cells, unpacked_cells
+from .engine import Rounds, bags, by_word, listed, packed_cells, sums_over, unpacked_cells
+
+
+#: Cells of documents that are worked on at once, so that they stay in the processor's cache.
+CELLS = 8192
 
 
 def response_step(like, n, doc, count, eta, sigma2, alpha, y=None, steps: int = 15):
-    """(gamma (D, K), phi (cells, K)): variational shares of documents and cells; with ``y`` the response pulls on them."""
-    k = like.shape[1]
-    total = np.bincount(doc, n, count)
-    gamma = np.full((count, k), alpha) + total[:, None] / k
-    phi = np.full((len(doc), k), 1 / k)
-    logs = np.log(np.maximum(like, 1e-300))
+    """(gamma (D, K), phi (cells, K)): variational shares of documents and cells; with ``y`` the response pulls on them.
+
+    The cells of a document stand together.  A document whose ``y`` is NaN is not pulled.
+    """
+    k, per, total = like.shape[1], np.bincount(doc, minlength=count), np.bincount(doc, n, count)
+    like, ends, lo = like.T, np.r_[0, np.cumsum(per)], 0
+    gamma, phi = np.empty((count, k)), np.empty((k, len(doc)))
+    while lo < count:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + CELLS, "right")) - 1)
+        c = slice(ends[lo], ends[hi])
+        sums, phi[:, c] = _response_cells(like[:, c], n[c], per[lo:hi], total[lo:hi], eta, sigma2, alpha, None if y is None else y[lo:hi], steps)
+        gamma[lo:hi] = alpha + sums.T
+        lo = hi
+    return gamma, phi.T
+
+
+def _response_cells(like, n, per, total, eta, sigma2, alpha, y, steps):
+    """(sums of the documents (K, D), phi (K, cells)); topics come first, so that sums over them run along rows."""
+    k, has = len(like), per > 0
+    doc, first = np.repeat(np.arange(len(per)), per), (np.cumsum(per) - per)[has]
+    prior = np.broadcast_to(np.asarray(alpha, float), (k,))[:, None]
+    sums, phi = np.repeat(total[None] / k, k, 0), np.full(like.shape, 1 / k)
+    like = np.maximum(like, 1e-300)
+    fine = like.min(initial=1) > 1e-150
+    if y is not None:
+        seen, m = np.isfinite(y), np.maximum(total, 1)
+        pull, inv, e = np.where(seen, y, 0) / (m * sigma2), seen / (m * m * sigma2), np.asarray(eta, float)[:, None]
+        most = np.abs(e).max(initial=0)
     for _ in range(steps):
-        x = (digamma(gamma) - digamma(gamma.sum(1, keepdims=True)))[doc] + logs
+        level, own = digamma(prior + sums), None
         if y is not None:
-            sums = np.zeros((count, k))
-            np.add.at(sums, doc, phi * n[:, None])
-            m = np.maximum(total, 1)[doc][:, None]
-            rest = ((sums[doc] - phi) @ eta)[:, None]
-            x = x + y[doc][:, None] * eta / (m * sigma2) - (2 * rest * eta + eta * eta) / (2 * m * m * sigma2)
-        phi = np.exp(x - x.max(1, keepdims=True))
-        phi /= phi.sum(1, keepdims=True)
-        gamma = np.full((count, k), alpha)
-        np.add.at(gamma, doc, phi * n[:, None])
-    return gamma, phi
+            level += e * (pull - inv * (eta @ sums)) - e * e * (inv / 2)
+            own = (eta @ phi) * inv[doc]
+        level -= level.max(0)
+        if fine and level.min(initial=0) > -300 and (own is None or np.abs(own).max(initial=0) * most < 200):
+            x = np.take(np.exp(level), doc, 1)
+            x *= like
+            if own is not None:
+                x *= np.exp(e * own)
+        else:  # a product could leave the range of numbers
+            x = level[:, doc] + np.log(like)
+            if own is not None:
+                x += e * own
+            x -= x.max(0)
+            np.exp(x, x)
+        x /= x.sum(0)
+        phi = x
+        if len(first):
+            sums[:, has] = np.add.reduceat(phi * n, first, axis=1)
+    return sums, phi
 
 
 class SupervisedLDA(TopicModel):
@@ -57,31 +93,33 @@ class SupervisedLDA(TopicModel):
         k, v, alpha = self.num_topics, len(enc.terms), self._alpha
         data = cut(enc.docs.join(y.select("doc_id", F.col("y").cast("double").alias("y")), "doc_id", "left").repartition(enc.parts, "doc_id").sortWithinPartitions("doc_id"))
         beta = LDA(k, alpha_sum=k * alpha, seed=self.seed).fit(enc, iters=15).topic_word
-        eta, sigma2 = np.zeros(k), 1.0
-        rounds = Rounds(data, {"gamma": "array<double>"}, self.seed)
+        eta, sigma2, last = np.zeros(k), 1.0, None
 
-        def kernel(b, sh, rng, sums):
+        def shares(b, beta, eta, sigma2):
             per, w, n = bags(b)
             doc, n = np.repeat(np.arange(len(per)), per), n.astype(float)
             y = b.column("y").to_numpy(zero_copy_only=False).astype(float)
             seen = np.isfinite(y)
-            gamma, phi = response_step(sh["beta"][:, w].T, n, doc, len(per), sh["eta"], sh["sigma2"], alpha, None if not seen.any() else np.where(seen, y, 0.0) + 0.0, var_iters)
-            ss = np.zeros((v, k))
-            np.add.at(ss, w, phi * n[:, None])
-            total = np.bincount(doc, n, len(per))
-            z = np.zeros((len(per), k))
-            np.add.at(z, doc, phi * n[:, None])
+            return per, w, n, doc, y, seen, *response_step(beta[:, w].T, n, doc, len(per), eta, sigma2, alpha, y if seen.any() else None, var_iters)
+
+        # a round begins anew from beta, so documents keep no state between rounds
+        def part(b, held):
+            per, w, n, doc, y, seen, gamma, phi = shares(b, *held.value)
+            total, z = np.bincount(doc, n, len(per)), gamma - alpha
             use = seen & (total > 0)
             zb = z[use] / total[use, None]
             cell = use[doc]
             inv = 1 / np.maximum(total, 1) ** 2
             second = zb.T @ zb - (phi[cell] * (n[cell] * inv[doc[cell]])[:, None]).T @ phi[cell] + np.diag((z[use] * inv[use, None]).sum(0))
-            sums += np.concatenate([ss.T.ravel(), second.ravel(), y[use] @ zb, [(y[use] ** 2).sum(), use.sum()]])
-            return {"gamma": listed(gamma)}
+            return np.concatenate([by_word(w, phi * n[:, None], v).ravel(), second.ravel(), y[use] @ zb, [(y[use] ** 2).sum(), use.sum()]])
 
         self.bound_history = []
         for _ in range(iters):
-            got = rounds.step(kernel, {"beta": beta, "eta": eta, "sigma2": sigma2}, k * v + k * k + k + 2)
+            held = self.spark.sparkContext.broadcast((beta, eta, sigma2))
+            got = sums_over(data, ["doc_id", "bag", "y"], lambda b, held=held: part(b, held), k * v + k * k + k + 2)
+            if last is not None:
+                last.unpersist()
+            last = held
             ss, m, b, tail = np.split(got, np.cumsum([k * v, k * k, k]))
             ss = ss.reshape(k, v) + 1e-6
             beta = ss / ss.sum(1, keepdims=True)
@@ -91,7 +129,14 @@ class SupervisedLDA(TopicModel):
             self.bound_history.append(-0.5 * float(tail[1] * np.log(2 * np.pi * sigma2) + tail[1]))
             if convergence_tol and len(self.bound_history) > 1 and abs(self.bound_history[-1] - self.bound_history[-2]) < convergence_tol * (abs(self.bound_history[-2]) + 1e-12):
                 break
-        self.topic_word, self.coefficients, self.sigma2, self._state, self._wordless = beta, eta, sigma2, rounds.state, enc.wordless()
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), listed(shares(b, *last.value)[6])], names=["doc_id", "gamma"])
+
+        state = data.select("doc_id", "bag", "y").mapInArrow(run, f"doc_id {dict(data.dtypes)['doc_id']}, gamma array<double>")
+        self.topic_word, self.coefficients, self.sigma2, self._state, self._wordless = beta, eta, sigma2, state, enc.wordless()
         return self
 
     def doc_topic(self) -> DataFrame:
@@ -102,22 +147,21 @@ class SupervisedLDA(TopicModel):
 
     def predict(self, docs: DataFrame, var_iters: int = 20) -> DataFrame:
         """(doc_id, y): eta . mean topic share of other documents; 0 for one without a known word."""
-        held = docs.sparkSession.sparkContext.broadcast((self.topic_word, {t: i for i, t in enumerate(self.vocabulary)}, self.coefficients, self.sigma2, self._alpha))
+        held = docs.sparkSession.sparkContext.broadcast((self.topic_word, list(self.vocabulary), self.coefficients, self.sigma2, self._alpha))
 
         def run(batches):
-            beta, at, eta, sigma2, alpha = held.value
+            beta, terms, eta, sigma2, alpha = held.value
+            known = pa.array(terms, pa.string())
             for b in batches:
                 if not b.num_rows:
                     continue
                 t = b.column("tokens")
-                code = np.array([at.get(s, -1) for s in t.flatten().to_pylist()], np.int64)
+                code = pc.index_in(t.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                 doc = np.repeat(np.arange(b.num_rows), np.diff(t.offsets.to_numpy()))[code >= 0]
                 key, n = np.unique((doc << 32) | code[code >= 0], return_counts=True)
                 doc, w, n = key >> 32, key & 0xFFFFFFFF, n.astype(float)
-                _, phi = response_step(beta[:, w].T, n, doc, b.num_rows, eta, sigma2, alpha, None, var_iters)
-                z = np.zeros((b.num_rows, len(beta)))
-                np.add.at(z, doc, phi * n[:, None])
-                total = z.sum(1)
+                gamma, _ = response_step(beta[:, w].T, n, doc, b.num_rows, eta, sigma2, alpha, None, var_iters)
+                z, total = gamma - alpha, np.bincount(doc, n, b.num_rows)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.where(total > 0, z @ eta / np.maximum(total, 1e-300), 0.0))], names=["doc_id", "y"])
 
         return docs.select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, y double")
