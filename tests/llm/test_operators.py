@@ -404,3 +404,29 @@ def test_residue_of_other_spellings():
         assert residue.find_residue(t), t
     for t in ["Set ${HOME} before you run the job.", "We saw 404 not found errors in 3% of the crawl.", "He wrote “" + "a long passage " * 30 + "{{ name }} and more” there."]:
         assert not residue.find_residue(t), t
+
+
+def test_search_looks_again_only_at_new_nodes():
+    """p4_found: a hop read and wrote its scratch for every neighbour, nodes met before included."""
+    from corpusloom.llm.graph import Graph, search
+
+    class Counted(np.ndarray):
+        reads = 0
+
+        def __getitem__(self, at):
+            got = super().__getitem__(at)
+            Counted.reads += np.size(got)
+            return got
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g, q = Graph(x, 12, 20), x[:50]
+    mark = np.zeros((50, 900), np.int16).view(Counted)
+    ids, sims = search(x, g.links, q, g._entries(q), 20, mark)
+    met = int((mark.view(np.ndarray) > 0).sum())
+    # NumPy counts the clearing of the scratch as one read of it
+    assert Counted.reads <= mark.size + 2 * met
+    exact = np.argsort(-(q @ x.T), 1)[:, :5]
+    assert np.mean([len(set(a) & set(b[:5])) for a, b in zip(exact, ids)]) > 4.5
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in ids) and np.allclose(sims, (x[ids] * q[:, None]).sum(2), atol=1e-5)
