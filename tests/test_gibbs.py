@@ -107,3 +107,41 @@ def test_state_is_packed(spark):
         z = np.frombuffer(bytes(r["g"]), np.uint8).astype(int)
         assert len(z) == n.sum() and np.allclose(token_counts(z, n, 3).sum(0), r["size"])
     assert np.isclose(m._counts.sum(), 9)
+
+
+def test_tokens_are_redrawn_given_all_others():
+    from corpusloom.models.engine import by_rank
+    from corpusloom.models.gibbs import redrawn
+
+    # two documents of one word each: the chance of every state, the token's own count left out
+    table, alpha, draws = np.array([[3.5, 1.5], [2.5, 4.5], [0.5, 0.5]]), np.array([0.2, 0.7]), []
+    nd, total, seen = np.array([2.0, 1.0]), table.sum(0), np.zeros(2)
+    for i in range(3000):
+        z = np.array([0, 0, 1], np.uint8)
+        t = table.astype(np.float32)
+        new, _ = redrawn(np.array([0, 0, 1], np.uint16), z, np.array([3]), t, total.copy(), alpha, np.random.default_rng(i))
+        seen[new[0]] += 1
+        assert np.allclose(t - table, np.bincount(np.array([0, 0, 1]) * 2 + new, minlength=6).reshape(3, 2) - np.array([[2, 0], [0, 1], [0, 0]]))
+    p = (nd - [1, 0] + alpha) * (table[0] - [1, 0]) / (total - [1, 0])
+    assert abs(seen[0] / 3000 - p[0] / p.sum()) < 0.03
+    per = np.array([1, 3, 2])
+    assert by_rank(per).tolist() == [1, 4, 0, 2, 5, 3]
+
+
+def test_a_sweep_writes_blocks_of_documents(spark, monkeypatch):
+    from corpusloom.models import dirichlet
+
+    wrote, cut = [], dirichlet.cut
+    monkeypatch.setattr(dirichlet, "cut", lambda df: wrote.append(cut(df)) or wrote[-1])
+    d = spark.sql("SELECT id AS doc_id, transform(sequence(0, int(id % 7)), i -> concat('w', (i * id) % 5)) AS tokens FROM range(3000)")
+    m = dirichlet.LDA(2, sampler="gibbs", seed=3).fit(d, iters=3, parts=2)
+    # a row for each batch of documents and a few of sums, not a row for each document
+    assert wrote and all(x.count() < 20 for x in wrote[-1:])
+    rows = {r.doc_id: r for r in m._state.collect()}
+    tokens = {r.doc_id: r.tokens for r in d.collect()}
+    assert rows.keys() == tokens.keys() and all(sum(rows[i].size) == len(tokens[i]) for i in rows)
+    counts, words = np.zeros((2, len(m.vocabulary))), {}
+    for r in m.assignments().collect():
+        counts[r.topic, r.typeindex] += 1
+        words.setdefault(r.doc_id, []).append(r.term)
+    assert np.array_equal(counts, m.counts) and all(sorted(words[i]) == sorted(tokens[i]) for i in tokens)
