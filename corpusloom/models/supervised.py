@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.num import digamma, lgamma
 from ..functions.session import cut
 from .base import Encoded, TopicModel
-from .engine import Rounds, bags, by_word, listed, packed_cells, sums_over, unpacked_cells
+from .engine import Rounds, bags, block_ids, block_rows, blocks_of, by_word, listed, ranked, sums_over, within
+from .gibbs import counting, redrawn
 
 
 #: Cells of documents that are worked on at once, so that they stay in the processor's cache.
@@ -167,6 +168,37 @@ class SupervisedLDA(TopicModel):
         return docs.select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, y double")
 
 
+def rehomed(size: np.ndarray, at: np.ndarray, pseudo: np.ndarray, alpha: float, rng) -> np.ndarray:
+    """New pseudo-documents of texts with topic counts ``size`` (D, K), now at ``at``; their tokens move in ``pseudo`` (P, K).
+
+    A block of texts is drawn at once given all tokens but a text's own: at least 32 texts, and more as long as they hold
+    less than a thousandth of the tokens.
+    """
+    at, (p, k), lo, total = at.copy(), pseudo.shape, 0, size.sum(1)
+    ends, most = np.r_[0, np.cumsum(total)], pseudo.sum() / 1000
+    while lo < len(at):
+        hi = min(max(lo + 32, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1), lo + 4096, len(at))
+        n, home, rows = size[lo:hi], at[lo:hi], np.arange(hi - lo)
+        every, m = np.maximum(pseudo, 0), total[lo:hi]
+        # logs of rising factorials by number of tokens, and of falling ones where a text's own tokens are among the counts
+        lp = np.zeros((hi - lo, p))
+        own = np.zeros(hi - lo)
+        for j in range(k + 1):
+            count, base, more = (every[:, j], alpha, n[:, j]) if j < k else (every.sum(1), k * alpha, m)
+            steps, sign = np.arange(int(more.max(initial=0))), 1 if j < k else -1
+            up = np.vstack([np.zeros((1, p)), np.cumsum(np.log(steps[:, None] + count + base), 0)])
+            down = np.vstack([np.zeros((1, p)), np.cumsum(np.log(np.maximum(count - steps[:, None] - 1, 0) + base), 0)])
+            lp += sign * up.take(more, 0)
+            own += sign * down[more, home]
+        lp[rows, home] = own
+        up = np.cumsum(np.exp(lp - lp.max(1, keepdims=True)), 1)
+        pick = np.minimum((up <= rng.random((hi - lo, 1)) * up[:, -1:]).sum(1), p - 1)
+        np.subtract.at(pseudo, home, n)
+        np.add.at(pseudo, pick, n)
+        at[lo:hi], lo = pick, hi
+    return at
+
+
 class PT(TopicModel):
     """Pseudo-document topics for short texts: every text belongs to one of ``num_pseudo`` pseudo-documents, which have the topic shares.
 
@@ -185,55 +217,44 @@ class PT(TopicModel):
         enc.check(self.num_topics)
         self._encoded(enc)
         k, v, p, alpha, beta = self.num_topics, len(enc.terms), self.num_pseudo, self._alpha, self.beta
-        rounds = Rounds(enc.docs, {"g": "binary", "pseudo": "int"}, self.seed)
+        rounds = Rounds(blocks_of(enc.docs, v), {"g": "binary", "pseudo": "binary"}, self.seed)
+        kind = np.uint8 if k <= 256 else np.int32
 
         def kernel(b, sh, rng, sums):
-            per, w, n = bags(b)
-            doc = np.repeat(np.arange(len(per)), per)
-            if "g" not in b.schema.names:
-                at = rng.integers(0, p, len(per))
-                new = rng.multinomial(n, np.full((len(n), k), 1 / k)).astype(float)
-                old, was = np.zeros_like(new), None
-            else:
+            g, homes = [], []
+            if "g" in b.schema.names and "mine" not in sh:
+                table = sh["words"] + beta
+                sh["mine"] = [np.ascontiguousarray(table.T, counting(table.max(initial=0))), table.sum(1), sh["pseudo"].copy()]
+            for i, per, w in block_rows(b, v):
+                order, left = ranked(per)
+                doc = order[within(left)]
                 if "mine" not in sh:
-                    sh["mine"] = (sh["words"].copy(), sh["pseudo"].copy())
-                words, pseudo = sh["mine"]
-                was = b.column("pseudo").to_numpy().astype(int)
-                at, old = was.copy(), unpacked_cells(b.column("g"), k)
-                new, total, first = old.copy(), words.sum(1), np.cumsum(per) - per
-                for j in range(int(per.max(initial=0))):
-                    c = first[per > j] + j
-                    own, home = new[c], at[doc[c]]
-                    q = (np.maximum(pseudo[home] - own, 0) + alpha) * (np.maximum(words[:, w[c]].T - own, 0) + beta) / (total - own + v * beta)
-                    draw = rng.multinomial(n[c], q / q.sum(1, keepdims=True)).astype(float)
-                    np.add.at(words.T, w[c], draw - own)
-                    np.add.at(pseudo, home, draw - own)
-                    total = total + (draw - own).sum(0)
-                    new[c] = draw
-                size = np.zeros((len(per), k))
-                np.add.at(size, doc, new)
-                for lo in range(0, len(per), 32):
-                    d = slice(lo, min(lo + 32, len(per)))
-                    m, rows = size[d], np.arange(len(size[d]))
-                    base = np.broadcast_to(pseudo, (len(rows), p, k)).copy()
-                    base[rows, at[d]] -= m
-                    base = np.maximum(base, 0) + alpha
-                    # rising factorials by the few tokens a text has
-                    lp = (lgamma(base + m[:, None]) - lgamma(base)).sum(2)
-                    s = base.sum(2)
-                    lp -= lgamma(s + m.sum(1)[:, None]) - lgamma(s)
-                    q = np.exp(lp - lp.max(1, keepdims=True))
-                    pick = (np.cumsum(q, 1) > rng.random((len(rows), 1)) * q.sum(1, keepdims=True)).argmax(1)
-                    np.add.at(pseudo, at[d], -m)
-                    np.add.at(pseudo, pick, m)
-                    at[d] = pick
-            delta, moved = np.zeros((v, k)), np.zeros((p, k))
-            np.add.at(delta, w, new - old)
-            np.add.at(moved, at[doc], new)
-            if was is not None:
-                np.add.at(moved, was[doc], -old)
-            sums += np.r_[delta.T.ravel(), moved.ravel()]
-            return {"g": packed_cells(new, per), "pseudo": pa.array(at.astype(np.int32))}
+                    at, new = rng.integers(0, p, len(per)), rng.integers(0, k, len(w))
+                else:
+                    words, total, pseudo = sh["mine"]
+                    old = np.frombuffer(b.column("g")[i].as_buffer(), kind).astype(np.int64)
+                    was = np.frombuffer(b.column("pseudo")[i].as_buffer(), np.int32).astype(np.int64)
+                    new, sh["mine"][1] = redrawn(w, old, per, words, total, np.full(k, alpha), rng, pseudo, was)
+                    size = np.bincount(doc * k + new, minlength=len(per) * k).reshape(-1, k)
+                    at = rehomed(size, was, pseudo, alpha, rng)
+                    sums[: k * v] -= np.bincount(old * v + w, minlength=k * v)
+                    sums[k * v :] -= np.bincount(was[doc] * k + old, minlength=p * k)
+                sums[: k * v] += np.bincount(new * v + w, minlength=k * v)
+                sums[k * v :] += np.bincount(at[doc] * k + new, minlength=p * k)
+                g.append(new.astype(kind).tobytes())
+                homes.append(at.astype(np.int32).tobytes())
+            return {"g": pa.array(g, pa.binary()), "pseudo": pa.array(homes, pa.binary())}
+
+        def placed():
+            """(doc_id, pseudo)"""
+
+            def run(batches):
+                for b in batches:
+                    for i in range(b.num_rows):
+                        at = np.frombuffer(b.column("pseudo")[i].as_buffer(), np.int32)
+                        yield pa.RecordBatch.from_arrays([block_ids(b, i), pa.array(at)], names=["doc_id", "pseudo"])
+
+            return rounds.state.mapInArrow(run, f"doc_id {dict(rounds.state.dtypes)['doc_id']}, pseudo int")
 
         words, pseudo, draws = np.zeros((k, v)), np.zeros((p, k)), []
         self.log_likelihood_history = []
@@ -243,10 +264,10 @@ class PT(TopicModel):
             a = words + beta
             self.log_likelihood_history.append(float((lgamma(a) - lgamma(np.full(1, beta))).sum() - (lgamma(a.sum(1)) - lgamma(np.full(1, v * beta))).sum()))
             if keep_theta_draws and it >= iters - keep_theta_draws * thin and (it - iters) % thin == 0:
-                draws.append((pseudo.copy(), cut(rounds.state.select("doc_id", "pseudo"))))
+                draws.append((pseudo.copy(), cut(placed())))
         self.topic_word = (words + beta) / (words.sum(1, keepdims=True) + v * beta)
         self.pseudo_topic = (pseudo + alpha) / (pseudo.sum(1, keepdims=True) + k * alpha)
-        self._state, self._wordless = rounds.state, enc.wordless()
+        self._state, self._wordless = placed(), enc.wordless()
         if draws:
             rows = None
             for i, (q, at) in enumerate(draws):

@@ -63,3 +63,27 @@ def test_shares_of_documents_in_blocks(monkeypatch):
     for args in ((1.0, 0.1, None), (1.0, 0.1, y), (0.01, 1e-4, y), (1e-6, 0.1, y)):
         got, want = (f(like, n, doc, 10, eta, *args) for f in (supervised.response_step, response_one_by_one))
         assert np.allclose(got[0], want[0], atol=1e-8) and np.allclose(got[1], want[1], atol=1e-8)
+
+
+def test_texts_move_between_pseudo_documents_by_rising_factorials():
+    from corpusloom.functions.num import lgamma
+    from corpusloom.models.supervised import rehomed
+
+    rng, alpha = np.random.default_rng(4), 0.3
+    size, at = rng.integers(0, 4, (5000, 3)), rng.integers(0, 4, 5000)
+    size[:4000] = [2, 0, 1]
+    at[:4000] = 1
+    pseudo = np.zeros((4, 3))
+    np.add.at(pseudo, at, size)
+    pseudo += [[900_000, 0, 0], [0, 0, 0], [300_000, 0, 600_000], [0, 5, 0]]
+    base = pseudo.copy()
+    base[1] -= size[0]
+    base += alpha
+    lp = (lgamma(base + size[0]) - lgamma(base)).sum(1) - lgamma(base.sum(1) + 3) + lgamma(base.sum(1))
+    before = pseudo.copy()
+    new = rehomed(size, at, pseudo, alpha, np.random.default_rng(1))
+    share = np.bincount(new[:500], minlength=4) / 500
+    assert np.abs(share - np.exp(lp) / np.exp(lp).sum()).max() < 0.08
+    np.add.at(before, new, size)
+    np.subtract.at(before, at, size)
+    assert np.array_equal(before, pseudo)
