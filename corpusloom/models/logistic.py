@@ -25,10 +25,13 @@ def full(eta: np.ndarray) -> np.ndarray:
     return softmax(np.c_[eta, np.zeros(len(eta))])
 
 
-def objective(eta, like, n, doc, total, mu, precision):
-    """Negative log posterior of every document, up to a constant.  ``like`` (cells, K) is beta at the cells' words."""
-    theta = full(eta)
-    mix = np.maximum((theta[doc] * like).sum(1), 1e-300)
+def objective(eta, like, n, doc, total, mu, precision, mix=None):
+    """Negative log posterior of every document, up to a constant.  ``like`` (cells, K) is beta at the cells' words.
+
+    ``mix`` gives the cells' mixtures where they are known.
+    """
+    if mix is None:
+        mix = np.maximum((full(eta)[doc] * like).sum(1), 1e-300)
     d = eta - mu
     return 0.5 * np.einsum("di,ij,dj->d", d, precision, d) - np.bincount(doc, n * np.log(mix), len(eta))
 
@@ -46,38 +49,84 @@ def _by_doc(rows, doc, count):
     return by_doc(rows, np.bincount(doc, minlength=count))
 
 
+def _mixed(eta, like, per):
+    """(theta (K, D), mixtures at the cells) with topics first, ``like`` (K, cells)."""
+    theta = np.ascontiguousarray(full(eta).T)
+    mix = np.repeat(theta[0], per) * like[0]
+    for t, x in zip(theta[1:], like[1:]):
+        mix += np.repeat(t, per) * x
+    return theta, np.maximum(mix, 1e-300, out=mix)
+
+
 def modes(eta, like, n, doc, mu, precision, steps: int = 60, tol: float = 1e-5):
-    """Modes of all documents at once; one that has reached its mode, or cannot rise further, is left out of later steps."""
-    eta, total = eta.copy(), np.bincount(doc, n, len(eta))
-    open_, moved = np.arange(len(eta)), np.ones(len(eta), bool)
+    """Modes of all documents at once; one that has reached its mode, or cannot rise further, is left out of later steps.
+
+    Steps use the true curvature, its negative directions turned round.
+    """
+    eta, count, k = eta.copy(), len(eta), like.shape[1]
+    if not count:
+        return eta
+    per, like = np.bincount(doc, minlength=count), np.ascontiguousarray(like.T)
+    total, open_, m, eye = np.bincount(doc, n, count), np.arange(count), mu, np.eye(k - 1)
+    e, moved = eta, np.ones(count, bool)
+    (theta, mix), value = _mixed(e, like, per), None
+    least = max(np.linalg.eigvalsh(precision)[0], 1e-9)
     for _ in range(steps):
-        g, theta, _ = gradient(eta[open_], like, n, doc, total[open_], mu[open_], precision)
+        ratio = n / mix
+        expected = theta * np.stack([by_doc(x * ratio, per) for x in like])
+        g = (total * theta - expected)[:-1].T + (e - m) @ precision
         far = moved & (np.abs(g).max(1, initial=0) >= tol)
+        eta[open_] = e
         if not far.any():
             break
         if not far.all():
-            g, theta, open_ = g[far], theta[far], open_[far]
-            cells = far[doc]
-            like, n, doc = like[cells], n[cells], (np.cumsum(far) - 1)[doc[cells]]
-        e, t, m, size_of = eta[open_], theta[:, :-1], mu[open_], total[open_]
-        h = size_of[:, None, None] * (t[:, :, None] * np.eye(t.shape[1]) - t[:, :, None] * t[:, None, :]) + precision
+            cells = np.repeat(far, per)
+            like, n, mix, ratio = like[:, cells], n[cells], mix[cells], ratio[cells]
+            e, g, m, total, per, open_ = e[far], g[far], m[far], total[far], per[far], open_[far]
+            value = None if value is None else value[far]
+            theta, expected = theta[:, far], expected[:, far]
+        doc = np.repeat(np.arange(len(e)), per)
+        if value is None:
+            value = objective(e, like.T, n, doc, total, m, precision, mix)
+        t = theta[:-1].T
+        bound = total[:, None, None] * (t[:, :, None] * eye - t[:, :, None] * t[:, None, :]) + precision
+        h = bound - expected[:-1].T[:, :, None] * eye
+        ratio = ratio / mix
+        for i in range(k - 1):
+            x = like[i] * ratio
+            for j in range(i + 1):
+                both = theta[i] * theta[j] * by_doc(x * like[j], per)
+                h[:, i, j] += both
+                if i != j:
+                    h[:, j, i] += both
+        bad = ~np.isfinite(h).all((1, 2))
+        h[bad] = bound[bad]
+        size, axes = np.linalg.eigh(h)
+        bad = size[:, 0] < least
+        h[bad] = (axes[bad] * np.maximum(np.abs(size[bad]), least)[:, None]) @ axes[bad].transpose(0, 2, 1)
         step = -np.linalg.solve(h, g[:, :, None])[:, :, 0]
-        value = objective(e, like, n, doc, size_of, m, precision)
         slope, size, moved = (g * step).sum(1), np.ones(len(e)), np.zeros(len(e), bool)
+        e = e.copy()
         for _ in range(20):
             rest = np.nonzero(~moved)[0]
-            new = e[rest] + size[rest, None] * step[rest]
-            if len(rest) == len(e):
-                got = objective(new, like, n, doc, size_of, m, precision)
-            else:
-                cells = ~moved[doc]
-                got = objective(new, like[cells], n[cells], (np.cumsum(~moved) - 1)[doc[cells]], size_of[rest], m[rest], precision)
+            new, whole = e[rest] + size[rest, None] * step[rest], len(rest) == len(e)
+            cells = slice(None) if whole else np.repeat(~moved, per)
+            part, at = _mixed(new, like[:, cells], per[rest])
+            got = objective(new, like.T[cells], n[cells], doc if whole else np.repeat(np.arange(len(rest)), per[rest]), total[rest], m[rest], precision, at)
             ok = got <= value[rest] + 1e-4 * size[rest] * slope[rest]
-            e[rest[ok]], moved[rest[ok]] = new[ok], True
+            won = rest[ok]
+            if whole and ok.all():
+                theta, mix = part, at
+            else:
+                theta[:, won] = part[:, ok]
+                taken = np.zeros(len(e), bool)
+                taken[won] = True
+                mix[np.repeat(taken, per)] = at[np.repeat(ok, per[rest])]
+            e[won], value[won], moved[won] = new[ok], got[ok], True
             if moved.all():
                 break
             size[~moved] /= 2
-        eta[open_] = e
+    eta[open_] = e
     return eta
 
 

@@ -104,3 +104,43 @@ def test_modes_leave_finished_documents(monkeypatch):
         at = doc == i
         one = logistic.laplace(eta[i : i + 1], like[at], n[at], doc[at] * 0, mu[i : i + 1], precision)[0]
         assert np.allclose(nu[i], one[0]) and np.linalg.eigvalsh(nu[i])[0] > 0
+
+
+def test_modes_are_reached_in_few_steps():
+    # documents whose mode a bound of the curvature nears only slowly
+    rng = np.random.default_rng(7)
+    k, v, docs = 4, 40, 60
+    beta = rng.dirichlet(np.full(v, 0.3), k)
+    per = np.r_[0, rng.integers(1, 30, docs - 1)]
+    doc = np.repeat(np.arange(docs), per)
+    like, n, mu, precision = beta[:, rng.integers(0, v, len(doc))].T, rng.integers(1, 4, len(doc)).astype(float), np.zeros((docs, k - 1)), np.eye(k - 1) / 20
+    eta = L.modes(mu.copy(), like, n, doc, mu, precision, steps=20)
+    g = L.gradient(eta, like, n, doc, np.bincount(doc, n, docs), mu, precision)[0]
+    assert np.abs(g).max() < 1e-4
+    # the value never falls below that of the start, and no start is needed near the mode
+    far = L.modes(rng.normal(0, 3, mu.shape), like, n, doc, mu, precision)
+    total = np.bincount(doc, n, docs)
+    best, other = (L.objective(e, like, n, doc, total, mu, precision) for e in (eta, far))
+    assert (best <= L.objective(mu, like, n, doc, total, mu, precision) + 1e-9).all() and np.median(np.abs(best - other)) < 1e-6
+
+
+def test_moments_are_those_of_dense_counts(spark, monkeypatch):
+    from corpusloom.models import spectral
+    from corpusloom.models.base import Encoded
+
+    rng = np.random.default_rng(2)
+    d = spark.createDataFrame([(i, [f"w{x:02}" for x in rng.integers(0, 30, 1 + i % 9)]) for i in range(400)], "doc_id bigint, tokens array<string>")
+    enc = Encoded(d, parts=2)
+    x = np.zeros((400, 30))
+    for i, r in enumerate(d.collect()):
+        np.add.at(x[i], [enc.terms.index(t) for t in r.tokens], 1)
+    x = x[x.sum(1) > 1]
+    pairs = x.sum(1) * (x.sum(1) - 1)
+    q = (x / pairs[:, None]).T @ x - np.diag((x / pairs[:, None]).sum(0))
+    p = (x / x.sum(1)[:, None]).sum(0) / len(x)
+    rows, got = spectral.moments(enc)
+    assert np.allclose(got, p) and np.allclose(rows, q / len(x) / p[:, None])
+    monkeypatch.setattr(spectral, "WHOLE", 3)
+    monkeypatch.setattr(spectral, "WIDTH", 16)
+    signs = np.random.default_rng(spectral.SEED).choice([-1.0, 1.0], (30, 16))
+    assert np.allclose(spectral.moments(enc)[0], q @ signs / len(x) / p[:, None], atol=1e-5)
